@@ -1 +1,35 @@
-"""Functions of the engine."""
+"""Scalar expressions of the engine (all built-in functions, no UDFs)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def key_text(c: Column) -> Column:
+    """Trimmed key; a whole number loses its fraction ("12.0" -> "12"), other text stays."""
+    t = F.trim(c)
+    n = t.try_cast("double")
+    return F.when(n.isNotNull() & (n == F.floor(n)), F.floor(n).cast("bigint").cast("string")).otherwise(t)
+
+
+def lenient_int(c: Column, default: int = 0) -> Column:
+    """Text to integer through double, truncated; anything else is the default."""
+    return F.coalesce(c.cast("string").try_cast("double").try_cast("bigint"), F.lit(default))
+
+
+def truth(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)).isin("1", "true", "yes", "y"), F.lit(False))
+
+
+def without_side(label: Column) -> Column:
+    """Label without what stands before its first underscore; null is ``none``."""
+    return F.when(label.isNull() | (label == "none"), "none").otherwise(F.regexp_replace(label, "^[^_]*_", ""))
+
+
+def binned(c: Column, edges: list[float]) -> Column:
+    """Index of the half-open bin [edge, next edge); null outside."""
+    out = F.lit(None).cast("int")
+    for i in range(len(edges) - 2, -1, -1):
+        out = F.when((c >= edges[i]) & (c < edges[i + 1]), i).otherwise(out)
+    return out

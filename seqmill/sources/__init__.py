@@ -1 +1,25 @@
-"""Sources of the engine."""
+"""Sources and sinks: CSV directories with keys in their paths, Parquet, JSON summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """CSV with every declared column as text; blanks are null."""
+    return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in columns), nullValue="")
+
+
+def read_set_directory(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
+    """``*/set*.csv`` below ``root`` with match_name (folder) and set_id (file name)."""
+    rows = spark.read.csv(f"{root}/*/set*.csv", header=True, schema=", ".join(f"`{c}` string" for c in columns), nullValue="")
+    path = F.col("_metadata.file_path")
+    return rows.select("*", F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("match_name"), F.regexp_extract(path, r"set(\d+)\.csv$", 1).cast("int").alias("set_id"))
+
+
+def write_columns(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet") -> None:
+    """Fixed header: extra columns are dropped, absent ones are null."""
+    have = set(df.columns)
+    out = df.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+    out.write.mode("overwrite").options(header=True).format(fmt).save(path)
