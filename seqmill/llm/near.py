@@ -2,9 +2,9 @@
 
 1. Every document keeps the k smallest hash values of its 2-word shingles. Equal shingle sets
    form a class; only class representatives (smallest doc_id) go on.
-2. Inverted lists: each two neighbouring retained values of a sketch are one list key. At a
-   similarity of 0.8 or more, two sketches of 32 share no such pair with a probability under
-   1e-10 (never, if the sets are no larger than the sketch).
+2. Inverted lists: each three neighbouring retained values of a sketch are one list key. At a
+   similarity of 0.8 or more, two sketches of 64 share no such run with a probability under
+   1e-10. Sets of up to 40 values use runs of two, which two such sets always share.
 3. First every representative meets the list leader (smallest id) it shares most keys with;
    then only pairs of one list that are still in different components are compared, so a large
    group of near copies costs a star, not all of its pairs.
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from seqmill.llm.common import chunks, mix, rolling, settle, span_hashes, spans, text_bytes
 from seqmill.llm.graph import components
 
-K = 32
+K = 64
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Union-sketch estimates under this drop a pair: far below the threshold for K values.
-FLOOR = 0.35
+FLOOR = 0.5
 _LOWER = bytes([b + 32 if 65 <= b < 91 else b for b in range(256)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -83,10 +83,16 @@ def sketches(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
 
 
 def list_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep, n): a row for each two neighbouring retained values."""
-    pair = lambda i: F.xxhash64(F.get("sketch", i), F.get("sketch", i + 1))
-    keys = F.when(F.size("sketch") >= 2, F.transform(F.sequence(F.lit(0), F.size("sketch") - 2), pair))
-    return reps.select(F.explode(keys).alias("key"), "rep", "n")
+    """(key, rep, n): a row for each three neighbouring retained values (two in small sets).
+
+    Two whole sets that are similar enough always share a run of two: their union of u values has
+    at least 0.8 u in common, parted in at most 0.2 u places. Linked sets differ in size by a
+    quarter at most, so sets of 30 to 40 values, which may meet either kind, have both.
+    """
+    run = lambda w: F.when(F.size("sketch") >= w, F.transform(F.sequence(F.lit(0), F.size("sketch") - w), lambda i: F.xxhash64(F.lit(w), *[F.get("sketch", i + j) for j in range(w)])))
+    none = F.array().cast("array<bigint>")
+    pairs, triples = F.when(F.col("n") <= 40, run(2)), F.when(F.col("n") >= 30, run(3))
+    return reps.select(F.explode(F.concat(F.coalesce(pairs, none), F.coalesce(triples, none))).alias("key"), "rep", "n")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:

@@ -120,4 +120,7 @@ def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that the policy accepts, with their own columns and nothing else."""
     names = docs.columns
     whole = docs.select(F.struct(*names).alias("_doc"), F.col("text").alias("_t"))
-    return ledger(whole, "_t", "_doc").where(passes(policy)).select("_doc.*")
+    # A filter on the verdict would be pushed below the ledger with all its expressions copied
+    # into it; one on an exploded value stays where it is.
+    kept = ledger(whole, "_t", "_doc").select(F.explode_outer(F.array(F.when(passes(policy), F.col("_doc")))).alias("_doc"))
+    return kept.where("_doc IS NOT NULL").select("_doc.*")
