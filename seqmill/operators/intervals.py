@@ -64,10 +64,10 @@ def greedy_match(left: DataFrame, right: DataFrame, key: str, frame: str, tolera
     A fold over one key's events (a bounded group: one session); ties go to the earlier one.
     """
     gather = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(frame)).alias(name))
-    both = gather(left, "a").join(gather(right, "b"), key)
-    step = f"""aggregate(a, named_struct('free', b, 'got', cast(array() as array<struct<x:bigint,y:bigint>>)), (s, x) ->
+    both = gather(left, "_a").join(gather(right, "_b"), key)
+    step = f"""aggregate(_a, named_struct('free', _b, 'got', cast(array() as array<struct<x:bigint,y:bigint>>)), (s, x) ->
         CASE WHEN exists(s.free, y -> abs(y - x) <= {tolerance})
         THEN named_struct('free', array_except(s.free, slice(array_sort(filter(s.free, y -> abs(y - x) <= {tolerance}), (p, q) -> CASE WHEN abs(p - x) != abs(q - x) THEN sign(abs(p - x) - abs(q - x)) ELSE sign(p - q) END), 1, 1)),
              'got', concat(s.got, array(named_struct('x', x, 'y', element_at(array_sort(filter(s.free, y -> abs(y - x) <= {tolerance}), (p, q) -> CASE WHEN abs(p - x) != abs(q - x) THEN sign(abs(p - x) - abs(q - x)) ELSE sign(p - q) END), 1)))))
         ELSE s END, s -> s.got)"""
-    return both.select(key, F.explode(F.expr(step.replace("sign(abs(p - x) - abs(q - x))", "cast(sign(abs(p - x) - abs(q - x)) as int)").replace("sign(p - q)", "cast(sign(p - q) as int)"))).alias("m")).select(key, F.col("m.x").alias("predicted"), F.col("m.y").alias("truth"), F.abs(F.col("m.x") - F.col("m.y")).alias("error"))
+    return both.select(key, F.explode(F.expr(step.replace("sign(abs(p - x) - abs(q - x))", "cast(sign(abs(p - x) - abs(q - x)) as int)").replace("sign(p - q)", "cast(sign(p - q) as int)"))).alias("_m")).select(key, F.col("_m.x").alias("predicted"), F.col("_m.y").alias("truth"), F.abs(F.col("_m.x") - F.col("_m.y")).alias("error"))

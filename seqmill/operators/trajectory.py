@@ -44,14 +44,14 @@ def jump_gate(points: DataFrame, key: str, frame: str, x: str, y: str, speed: fl
     rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key)
     sorted_ = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"))))
     far = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) > speed * (p["f"] - q["f"])
-    kept = F.aggregate("pts", F.slice("pts", 1, 0), lambda acc, p: F.when((F.size(acc) > 0) & far(p, F.try_element_at(acc, F.lit(-1))), acc).otherwise(F.concat(acc, F.array(p))))
-    return rows.agg(sorted_.alias("pts")).select(key, F.explode(kept).alias("p")).select(key, F.col("p.f").alias(frame), F.col("p.x").alias(x), F.col("p.y").alias(y))
+    kept = F.aggregate("_pts", F.slice("_pts", 1, 0), lambda acc, p: F.when((F.size(acc) > 0) & far(p, F.try_element_at(acc, F.lit(-1))), acc).otherwise(F.concat(acc, F.array(p))))
+    return rows.agg(sorted_.alias("_pts")).select(key, F.explode(kept).alias("_p")).select(key, F.col("_p.f").alias(frame), F.col("_p.x").alias(x), F.col("_p.y").alias(y))
 
 
 def suppress(candidates: DataFrame, key: str, frame: str, score: str, distance: int) -> DataFrame:
     """Greedy suppression: highest score first, kept if ``distance`` frames from all kept ones."""
     ranked = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(frame).alias("f"))))
     clear = lambda acc, c: F.forall(acc, lambda k: F.abs(k["f"] - c["f"]) >= distance)
-    kept = F.aggregate("c", F.slice("c", 1, 0), lambda acc, c: F.when(clear(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
-    rows = candidates.groupBy(key).agg(ranked.alias("c")).select(key, F.explode(kept).alias("k"))
-    return rows.select(key, F.col("k.f").alias(frame), (-F.col("k.s")).alias(score))
+    kept = F.aggregate("_c", F.slice("_c", 1, 0), lambda acc, c: F.when(clear(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
+    rows = candidates.groupBy(key).agg(ranked.alias("_c")).select(key, F.explode(kept).alias("_k"))
+    return rows.select(key, F.col("_k.f").alias(frame), (-F.col("_k.s")).alias(score))
