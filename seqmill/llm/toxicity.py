@@ -131,7 +131,7 @@ def _cover(rows: list[set[str]], weights: dict[str, float], most: int, times: in
     return kept
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms: int = 500, min_log_odds: float = 3.0, min_share: float = 0.004) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms: int = 500, min_log_odds: float = 3.0, min_share: float = 0.004, min_gain: float = 15.0) -> Lexicon:
     """Lexicon, exceptions and fit from at most ``max_rows`` labelled rows that aren't held out."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -153,6 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms:
         return Lexicon()
     odds = F.log((F.col("t") + 0.5) / (whole.t + 1.0)) - F.log((F.col("c") + 0.5) / (whole.c + 1.0))
     good = counts.where("term != ''").where(F.col("t") >= max(3, min_share * whole.t)).withColumn("w", odds).where(F.col("w") >= min_log_odds)
+    good = good.where(F.col("t") * F.col("w") >= min_gain)  # rarer words may be chance
     candidates: dict[str, float] = {}
     for r in sorted(good.orderBy(F.desc(F.col("t") * F.col("w")), "term").limit(6 * max_terms).collect(), key=lambda r: (len(r.term), r.term)):
         if not any(r.term[:n] in candidates for n in range(STEM[0], len(r.term))):
