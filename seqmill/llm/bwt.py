@@ -63,21 +63,22 @@ def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:
     ends = np.zeros(m, bool)
     ends[a.m :] = True
     block = np.zeros(n, np.int32)
-    symbols = np.empty(n, np.promote_types(a.bwt.dtype, b.bwt.dtype))
+    both = np.concatenate((a.bwt, b.bwt))
+    symbols, ordered = np.empty_like(both), np.sort(both, kind="stable")
+    parted = ordered[1:] != ordered[:-1]  # sorted symbols are the same in every round
     for _ in range(depth):
         symbols[~z], symbols[z] = a.bwt, b.bwt
         by = np.argsort(symbols, kind="stable")  # a radix sort
-        z, part, ordered = z[by], block[by], symbols[by]
+        z, part = z[by], block[by]
         z[:m] = ends  # suffixes that are a terminator keep their strings' order
         new = np.ones(n, bool)
-        new[1:] = (ordered[1:] != ordered[:-1]) | (part[1:] != part[:-1])
+        new[1:] = parted | (part[1:] != part[:-1])
         new[:m] = True
         block = np.cumsum(new, dtype=np.int32)
         if block[-1] == n:
             break
     at = np.empty(n, np.int64)
     at[~z], at[z] = np.arange(na), np.arange(na, n)
-    both = np.concatenate((a.bwt, b.bwt))
     out = object.__new__(Shard)
     out.bwt, out.m = both[at], m
     out.text, out.place = np.concatenate((a.text, b.text))[at], np.concatenate((a.place, b.place))[at]
