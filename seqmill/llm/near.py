@@ -5,9 +5,11 @@
 2. Inverted lists: each three neighbouring retained values of a sketch are one list key. At a
    similarity of 0.8 or more, two sketches of 64 share no such run with a probability under
    1e-10. Sets of up to 40 values use runs of two, which two such sets always share.
-3. First every representative meets the list leader (smallest id) it shares most keys with;
-   then only pairs of one list that are still in different components are compared, so a large
-   group of near copies costs a star, not all of its pairs.
+3. Sketches whose values are nowhere else go; of the others, every representative first meets
+   the list leader (fewest values of its own) it shares most keys with. Then only pairs of one
+   list that are still in different components are compared, and only if the parities of 1024
+   bins of their full sets, which bound the difference of two sets exactly, allow a link. So a
+   large group of near copies costs a star, not all of its pairs.
 4. The union sketch of a pair estimates the similarity and drops hopeless pairs (a true link is
    lost with a probability under 1e-7); the full shingle sets confirm the rest exactly.
 
@@ -36,7 +38,10 @@ FLOOR = 0.5
 _LOWER = bytes([b + 32 if 65 <= b < 91 else b for b in range(256)])
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-SKETCH = "doc_id long, n long, s1 long, s2 long, sketch array<long>"
+#: Bits of a set's parities are kept in so many words of 64.
+PARITY = 16
+ODD = [f"o{i}" for i in range(PARITY)]
+SKETCH = "doc_id long, n long, s1 long, s2 long, sketch array<long>, " + ", ".join(f"{o} long" for o in ODD)
 
 
 def shingles(text: str | None, width: int = 2) -> set[tuple[bytes, ...]]:
@@ -46,7 +51,10 @@ def shingles(text: str | None, width: int = 2) -> set[tuple[bytes, ...]]:
 
 
 def sketches(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
-    """Per document: doc_id, n (distinct shingles), s1 and s2 (hash of the whole set), sketch."""
+    """Per document: doc_id, n (distinct shingles), s1 and s2 (hash of the whole set), sketch, o0...
+
+    The o columns hold the parity of the number of values in each of 1024 bins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower = np.frombuffer(_LOWER, np.uint8)
@@ -77,13 +85,39 @@ def sketches(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
                 taken = (np.arange(len(values)) - begin[owner]) < k
                 at = np.concatenate(([0], np.cumsum(np.minimum(n, k)))).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(at), pa.array(values[taken]))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), s1, s2, sketch], names=["doc_id", "n", "s1", "s2", "sketch"])
+                word = owner * PARITY + (values >> (63 - 4))  # ascends, as values do
+                odd = np.zeros(size * PARITY, np.int64)
+                if len(word):
+                    runs = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                    odd[word[runs]] = np.bitwise_xor.reduceat(np.int64(1) << (values & 63), runs)
+                odd = [pa.array(np.ascontiguousarray(o)) for o in odd.reshape(size, PARITY).T]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n.astype(np.int64)), s1, s2, sketch, *odd], names=["doc_id", "n", "s1", "s2", "sketch", *ODD])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
+def _lone(sets: DataFrame) -> DataFrame:
+    """(s1, lone): how many values of each set (s1, sketch) are in no other one.
+
+    A value that occurs once names its only owner, so one pre-aggregated shuffle does.
+    """
+    values = sets.select(F.explode("sketch").alias("v"), "s1")
+    return values.groupBy("v").agg(F.count("*").alias("c"), F.min("s1").alias("s1")).where("c = 1").groupBy("s1").agg(F.count("*").alias("lone"))
+
+
+def supported(reps: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
+    """``reps`` that may link at all, with ``lone``, their retained values that no other sketch has.
+
+    Whatever two sets share is in two sketches at least. A set that is retained whole needs the
+    threshold's share of such values, a cut sketch needs ``floor`` of them.
+    """
+    least = F.when(F.col("n") <= k, F.lit(PERCENT) * F.col("n")).otherwise(F.lit(100 * floor) * F.size("sketch"))
+    held = reps.join(_lone(reps), "s1", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    return held.where(100 * (F.size("sketch") - F.col("lone")) >= least)
+
+
 def list_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep, n): a row for each three neighbouring retained values (two in small sets).
+    """(key, rep, n, lone): a row for each three neighbouring retained values (two in small sets).
 
     Two whole sets that are similar enough always share a run of two: their union of u values has
     at least 0.8 u in common, parted in at most 0.2 u places. Linked sets differ in size by a
@@ -92,7 +126,7 @@ def list_keys(reps: DataFrame) -> DataFrame:
     run = lambda w: F.when(F.size("sketch") >= w, F.transform(F.sequence(F.lit(0), F.size("sketch") - w), lambda i: F.xxhash64(F.lit(w), *[F.get("sketch", i + j) for j in range(w)])))
     none = F.array().cast("array<bigint>")
     pairs, triples = F.when(F.col("n") <= 40, run(2)), F.when(F.col("n") >= 30, run(3))
-    return reps.select(F.explode(F.concat(F.coalesce(pairs, none), F.coalesce(triples, none))).alias("key"), "rep", "n")
+    return reps.select(F.explode(F.concat(F.coalesce(pairs, none), F.coalesce(triples, none))).alias("key"), "rep", "n", "lone")
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
@@ -135,9 +169,10 @@ def groups(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
     base = settle(sketches(docs, width, k))
     classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     reps = base.join(classes.select("s1", "s2", "n", F.col("rep").alias("doc_id")), ["s1", "s2", "n", "doc_id"], "left_semi")
-    reps = settle(reps.select(F.col("doc_id").alias("rep"), "n", "sketch"))
+    reps = settle(supported(settle(reps.select(F.col("doc_id").alias("rep"), "n", "s1", "sketch", *ODD)), k).select("rep", "n", "lone", "sketch", *ODD))
     keys = list_keys(reps)
-    leaders = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
+    order = F.struct("lone", "rep")
+    leaders = keys.groupBy("key").agg(F.min(order).alias("a"), F.max(order).alias("z")).where("a < z").select("key", F.col("a.rep").alias("a"))
     met = keys.join(leaders, "key").where("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"))
     best = met.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
     links = confirmed(estimated(best, reps, k), docs)
@@ -147,8 +182,13 @@ def groups(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
     placed = keys.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     placed = settle(placed.join(mixed, "key", "left_semi"))
-    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp")]) for s in "ab")
-    cross = x.join(y, "key").where("rep_a < rep_b AND comp_a != comp_b AND 100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)")
+    # Parities of bins part two sets in no more bins than they have different values, and a
+    # link allows a ninth of both sizes: an exact bound, so close families yield few pairs.
+    placed = placed.join(reps.select("rep", "n", *ODD), ["rep", "n"])
+    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", *ODD)]) for s in "ab")
+    apart = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD[1:]), F.bit_count(F.col("o0_a").bitwiseXOR(F.col("o0_b"))))
+    alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
+    cross = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & alike)
     cross = cross.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     more = confirmed(estimated(cross, reps, k), docs)
     labels = components(links.unionByName(more))

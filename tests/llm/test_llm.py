@@ -197,3 +197,27 @@ def test_ablations_are_bitwise(spark):
     bits = [r.failed for r in book.collect()]
     for b, rule in enumerate(quality.RULES):
         assert got[rule].n_failed == sum(x >> b & 1 for x in bits) and got[rule].n_only == sum(x == 1 << b for x in bits)
+
+
+def test_near_family_around_the_threshold_equals_brute_force(spark):
+    """Copies of one text with 0 to 12 words changed: many pairs lie just over or under the threshold."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(500)}" for _ in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for p in r.sample(range(len(w)), i % 13):
+            w[p] = f"x{r.randrange(300)}"
+        texts.append(" ".join(w))
+    sets = [near.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.digest(docs).collect()}
+    assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    assert len(set(label)) > 1
