@@ -94,3 +94,23 @@ def softmax_top(rows: DataFrame, logits: str, k: int = 3) -> DataFrame:
     rows = rows.withColumn("probs", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda s, y: s + y))).drop("_e")
     order = F.array_sort(F.transform("probs", lambda x, i: F.struct((-x).alias("p"), i.alias("i"))))
     return rows.withColumn("top", F.transform(F.slice(order, 1, k), lambda x: x["i"]))
+
+
+def standardised(rows: DataFrame, vector: str, dims: int) -> DataFrame:
+    """``vector`` with each of its ``dims`` features as a population standard score; constant features are 0."""
+    x = [F.get(vector, F.lit(i)).cast("double") for i in range(dims)]
+    stats = rows.agg(F.array(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")) for c in x])).scalar()
+    score = lambda i: F.when(F.col("_stats")[i]["std"] > 1e-12, (x[i] - F.col("_stats")[i]["mean"]) / F.col("_stats")[i]["std"]).otherwise(x[i] * 0)
+    return rows.withColumn("_stats", stats).withColumn(vector, F.array(*[score(i) for i in range(dims)])).drop("_stats")
+
+
+def centroids(rows: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
+    """(label, n, centroid): the mean vector of each label, combined before the shuffle."""
+    return rows.groupBy(label).agg(F.count("*").alias("n"), F.array(*[F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(dims)]).alias("centroid"))
+
+
+def centroid_distance(rows: DataFrame, key: str, label: str, vector: str, dims: int) -> DataFrame:
+    """(key, label, distance): Euclidean distance of each vector to the centroid of its label."""
+    both = rows.select(key, label, vector).join(centroids(rows, label, vector, dims), label)
+    square = F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    return both.select(key, label, F.sqrt(square).alias("distance"))

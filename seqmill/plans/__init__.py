@@ -195,6 +195,19 @@ def top_classes(spark, sf_dir):
     return measures.softmax_top(e, "l").select("vec_id", F.round(F.array_max("probs"), 6).alias("best"), F.array_join("top", ",").alias("top"))
 
 
+def _vectors(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+
+
+def standard_scores(spark, sf_dir):
+    e = measures.standardised(_vectors(spark, sf_dir), "embedding", 64).select("vec_id", F.posexplode("embedding").alias("i", "z"))
+    return e.select("vec_id", "i", F.round("z", 6).alias("z"))
+
+
+def centroid_distances(spark, sf_dir):
+    return measures.centroid_distance(_vectors(spark, sf_dir), "vec_id", "label", "embedding", 64).select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
 def binned_accuracy(spark, sf_dir):
     rows = _judged(spark, sf_dir).withColumn("bin", fn.binned(F.col("confidence"), [0.0, 0.4, 0.6, 0.8, 1.01]))
     return rows.where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"), F.avg((F.col("token") == F.col("guess")).cast("int")).alias("accuracy"))
@@ -225,7 +238,7 @@ _ALL = (
     transition_matrix, soft_transition_matrix, high_confidence_segments, motif_support, opening_patterns, lag_displacement, midpoint_windows, average_rank, top_events, spaced_sample,
     smoothed_states, active_intervals, merged_intervals, free_intervals, points_in_spans, overlapping_spans, event_matching, value_peaks, turning_points, gap_filling, jump_filter,
     peak_suppression, composition_gap, transition_distance, class_report, overlapping_group_accuracy, label_weights, quality_profile, duplicate_keys, occupancy, false_discovery,
-    rand_agreement, top_classes, binned_accuracy, order_star_join, customers_without_orders, hourly_counts, user_sessions,
+    rand_agreement, top_classes, standard_scores, centroid_distances, binned_accuracy, order_star_join, customers_without_orders, hourly_counts, user_sessions,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -308,6 +321,10 @@ ORACLE_SQL: dict[str, str] = {
     "top_classes": """WITH e AS (SELECT vec_id, unnest(embedding[1:8]) AS x, unnest(generate_series(0, 7)) AS i FROM embeddings), m AS (SELECT vec_id, CAST(x AS DOUBLE) AS x, i, max(CAST(x AS DOUBLE)) OVER (PARTITION BY vec_id) AS peak FROM e),
         p AS (SELECT vec_id, i, exp(x - peak) / sum(exp(x - peak)) OVER (PARTITION BY vec_id) AS p FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS r FROM p)
         SELECT vec_id, round(max(p), 6) AS best, string_agg(CAST(i AS VARCHAR), ',' ORDER BY r) FILTER (r <= 3) AS top FROM r GROUP BY vec_id""",
+    "standard_scores": """WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(generate_series(0, 63)) AS INTEGER) AS i FROM embeddings), m AS (SELECT i, avg(x) AS mean, stddev_pop(x) AS std FROM e GROUP BY i)
+        SELECT vec_id, i, round(CASE WHEN std > 1e-12 THEN (x - mean) / std ELSE 0 END, 6) AS z FROM e JOIN m USING (i)""",
+    "centroid_distances": """WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(generate_series(0, 63)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e GROUP BY label, i)
+        SELECT vec_id, label, round(sqrt(sum((x - c) * (x - c))), 6) AS distance FROM e JOIN m USING (label, i) GROUP BY vec_id, label""",
     "binned_accuracy": f"""WITH {_LOG}, {_JUDGED}, b AS (SELECT *, CASE WHEN confidence >= 0 AND confidence < 0.4 THEN 0 WHEN confidence < 0.6 THEN 1 WHEN confidence < 0.8 THEN 2 WHEN confidence < 1.01 THEN 3 END AS bin FROM j)
         SELECT bin, count(*) AS n, avg(CAST(token = guess AS INTEGER)) AS accuracy FROM b WHERE bin IS NOT NULL GROUP BY bin""",
     "order_star_join": "SELECT n_name, count(*) AS n, count(DISTINCT c_custkey) AS customers, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
