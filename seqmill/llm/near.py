@@ -108,10 +108,13 @@ def _lone(sets: DataFrame) -> DataFrame:
 def supported(reps: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
     """``reps`` that may link at all, with ``lone``, their retained values that no other sketch has.
 
-    Whatever two sets share is in two sketches at least. A set that is retained whole needs the
-    threshold's share of such values, a cut sketch needs ``floor`` of them.
+    What two whole sets share is in two sketches. A set of n values that is retained whole has the
+    threshold's share of such values; a partner that has all of them and is as large as a link
+    allows loses all but k of its own, which may all be shared ones, so n less that loss is enough
+    (an exact bound, lower from n = 61 on). A cut sketch needs ``floor`` of them.
     """
-    least = F.when(F.col("n") <= k, F.lit(PERCENT) * F.col("n")).otherwise(F.lit(100 * floor) * F.size("sketch"))
+    whole = F.least(F.lit(PERCENT) * F.col("n"), F.lit(100 * k) - (F.lit(10_000 / PERCENT) - 100) * F.col("n"))
+    least = F.when(F.col("n") <= k, whole).otherwise(F.lit(100 * floor) * F.size("sketch"))
     held = reps.join(_lone(reps), "s1", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
     return held.where(100 * (F.size("sketch") - F.col("lone")) >= least)
 

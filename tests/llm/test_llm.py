@@ -221,3 +221,20 @@ def test_near_family_around_the_threshold_equals_brute_force(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near.digest(docs).collect()}
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
     assert len(set(label)) > 1
+
+
+def test_near_links_whole_sets_with_cut_partners(spark):
+    """Isolated pairs of 52 to 64 shingles against 65 to 80: the larger set's sketch is cut."""
+    texts, links = [], []
+    for n in range(52, 65):
+        for m in sorted({65, 5 * n // 4 - 1, 5 * n // 4, 5 * n // 4 + 1} - set(range(65))):
+            for drop in (0, 1):
+                for again in range(4):
+                    w = [f"{n}-{m}-{drop}-{again}-{i}" for i in range(m + 1)]
+                    own = w[: n + 1 - drop] + ["other"] * drop
+                    both = len(near.shingles(" ".join(own)) & near.shingles(" ".join(w)))
+                    links.append(100 * both >= 80 * (n + m - both))
+                    texts += [" ".join(own), " ".join(w)]
+    got = {r.doc_id: r.component_id for r in near.digest(docs_of(spark, texts)).collect()}
+    assert got == {i: i - i % 2 if links[i // 2] else i for i in range(len(texts))}
+    assert 0 < sum(links) < len(links)
