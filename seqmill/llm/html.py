@@ -1,8 +1,10 @@
 """HTML extraction by layout: all visible text, with blocks, lists and aligned tables kept.
 
-A tree builder closes implied tags, visibility rules hide scripts, styles, templates, comments
-and elements marked hidden, and a renderer writes blocks on their own lines, list items with
-their marks and depth, preformatted text as it is, and table cells padded to columns.
+A tree builder closes implied tags and adds implied rows, visibility rules hide scripts, styles,
+templates, comments, fallback content that browsers never show and elements marked hidden, and a
+renderer writes blocks on their own lines, list items with their marks and depth, preformatted
+text as it is, and table cells padded to columns. What stands in a table outside its cells comes
+before it, as in browsers. Of svg, text elements and embedded HTML are text.
 
 Defined cases: null html gives null, empty html an empty text; broken markup never fails
 (unclosed tags end with their parent, stray end tags are ignored); pages are handled row by
@@ -27,9 +29,16 @@ HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", r
 # Fixed element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object svg math audio video canvas select datalist textarea dialog".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes audio video canvas datalist".split())
+#: Start tags that leave a head open.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Parts of svg and math that are never drawn where they stand, and parts that hold HTML again.
+UNDRAWN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker".split()), "math": frozenset("annotation annotation-xml".split())}
+HOLDS = {"svg": frozenset("foreignobject desc".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+#: HTML tags that end an open svg or math element.
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset(
-    "html body address article aside blockquote center details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table ul caption tr".split()
+    "html body address article aside blockquote center details dd dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table ul caption tr".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure".split())
 #: Tag -> (open tags that it closes, tags beyond which nothing is closed).
@@ -43,8 +52,13 @@ CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "thead": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
     "tbody": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th"]), frozenset(["table"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
     "body": (frozenset(["head"]), frozenset()),
 }
+SECTION = frozenset("thead tbody tfoot".split())
+#: Tags of a table -> open parts of it that they may stand in.
+WITHIN = {"td": SECTION | {"table", "tr"}, "th": SECTION | {"table", "tr"}, "tr": SECTION | {"table"}} | dict.fromkeys([*SECTION, "caption", "colgroup"], frozenset(["table"]))
 FLOW = BLOCK - {"html", "body", "li", "dt", "dd", "tr", "caption", "legend", "summary"}
 HALTS = frozenset("td th table button caption html body".split())
 
@@ -58,22 +72,29 @@ class Node:
 
 
 def tree(source: str) -> Node:
-    """The element tree, with implied end tags."""
+    """The element tree, with implied end tags and rows."""
     root = Node("#root")
     open_ = [root]
+    #: Open svg and math elements and the parts of them that hold HTML, with their places.
+    foreign: list[tuple[int, Node]] = []
     at, size = 0, len(source)
-    lowered = None
+
+    def add(text: str) -> None:
+        if open_[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            del open_[-1]
+        open_[-1].children.append(text)
+
     while at < size:
         m = TOKEN.match(source, at)
         if m is None:
             end = source.find("<", at + 1)
-            open_[-1].children.append(source[at : end if end > 0 else size])
+            add(source[at : end if end > 0 else size])
             at = end if end > 0 else size
             continue
         at = m.end()
         closing, name, attributes, text = m.groups()
         if text is not None:
-            open_[-1].children.append(text)
+            add(text)
             continue
         if name is None:
             continue
@@ -83,11 +104,20 @@ def tree(source: str) -> Node:
                 if open_[i].tag == name:
                     del open_[i:]
                     break
-                if open_[i].tag in ("td", "th", "table") and name not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html"):
+                if open_[i].tag in ("td", "th", "table") and name not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html", "template"):
+                    break
+                if open_[i].tag == "table" and name not in ("body", "html", "template"):
                     break
             continue
-        closes, halts = CLOSES.get(name, (frozenset(), frozenset()))
-        if name in FLOW:
+        if open_[-1].tag == "head" and name not in HEAD:
+            del open_[-1]
+        while foreign and not (foreign[-1][0] < len(open_) and open_[foreign[-1][0]] is foreign[-1][1]):
+            foreign.pop()
+        while name in BREAKS and foreign and foreign[-1][1].tag in UNDRAWN:
+            del open_[foreign.pop()[0] :]
+        inside = foreign[-1][1].tag if foreign and foreign[-1][1].tag in UNDRAWN else ""
+        closes, halts = CLOSES.get(name, (frozenset(), frozenset())) if not inside else (frozenset(), frozenset())
+        if name in FLOW and not inside:
             closes, halts = frozenset(["p"]), HALTS
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].tag in halts:
@@ -96,21 +126,33 @@ def tree(source: str) -> Node:
                 del open_[i:]
                 if name in FLOW or name in ("li", "dt", "dd"):
                     break
-        node = Node(name)
-        if attributes and ("hid" in attributes.lower() or "none" in attributes.lower() or "start" in attributes.lower() or "collapse" in attributes.lower()):
+        if name in WITHIN and not inside:
+            scope = next((i for i in range(len(open_) - 1, 0, -1) if open_[i].tag in ("table", "template")), 0)
+            if open_[scope].tag == "table":
+                while open_[-1].tag not in WITHIN[name]:
+                    open_.pop()
+                if name in ("td", "th") and open_[-1].tag != "tr":
+                    open_[-1].children.append(Node("tr"))
+                    open_.append(open_[-1].children[-1])  # type: ignore[arg-type]
+        node = Node(name, name == "dialog" or name in UNDRAWN.get(inside, ()))
+        if attributes and (name == "dialog" or "hid" in attributes.lower() or "none" in attributes.lower() or "start" in attributes.lower() or "collapse" in attributes.lower()):
             known = {k.lower(): a or b or c or "" for k, a, b, c in ATTRIBUTE.findall(attributes)}
-            node.hidden = "hidden" in known or bool(HIDES.search(known.get("style", ""))) or (name == "input" and known.get("type", "").lower() == "hidden")
+            node.hidden = (node.hidden and not (name == "dialog" and "open" in known)) or "hidden" in known or bool(HIDES.search(known.get("style", ""))) or (name == "input" and known.get("type", "").lower() == "hidden")
             if known.get("start", "").lstrip("-").isdigit():
                 node.start = int(known["start"])
         open_[-1].children.append(node)
-        if name in RAW:
-            lowered = source.lower() if lowered is None else lowered
-            end = lowered.find(f"</{name}", at)
-            stop = end if end >= 0 else size
+        bare = attributes.rstrip().endswith("/")
+        if name in RAW and not (inside and (bare or name not in ("script", "style", "title"))):
+            end = re.compile(f"</{name}", re.I | re.A).search(source, at)
+            stop = end.start() if end else size
             node.children.append(source[at:stop])
             close = source.find(">", stop)
-            at = close + 1 if end >= 0 and close >= 0 else size
-        elif name not in VOID and not attributes.rstrip().endswith("/"):
+            at = close + 1 if end and close >= 0 else size
+        elif name == "form" and open_[-1].tag in WITHIN["td"]:
+            continue  # a form between the parts of a table holds nothing
+        elif name not in VOID and not bare:
+            if name in UNDRAWN or name in HOLDS.get(inside, ()):
+                foreign.append((len(open_), node))
             open_.append(node)
     return root
 
@@ -140,16 +182,40 @@ class Page:
         self.gap = 0
 
 
-def cells(table: Node) -> list[list[Node]]:
-    """Rows of visible cells of a table, nested tables left alone."""
-    out, todo = [], list(table.children)
+def cells(table: Node) -> tuple[list[list[Node]], list[Node | str]]:
+    """Rows of visible cells of a table, and what stands outside of them; nested tables left alone."""
+    rows: list[list[Node]] = []
+    stray: list[Node | str] = []
+    todo: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(table.children)]
     while todo:
-        x = todo.pop(0)
-        if isinstance(x, Node) and not x.hidden:
-            if x.tag == "tr":
-                out.append([c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden])
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                todo = list(x.children) + todo
+        x, in_row = todo.pop()
+        if isinstance(x, str):
+            stray.append(x)
+        elif x.hidden:
+            continue
+        elif x.tag in ("td", "th") and in_row:
+            rows[-1].append(x)
+        elif x.tag == "tr" and not in_row:
+            rows.append([])
+            todo += [(y, True) for y in reversed(x.children)]
+        elif x.tag in SECTION and not in_row:
+            todo += [(y, False) for y in reversed(x.children)]
+        elif x.tag != "caption":
+            stray.append(x)
+    return rows, stray
+
+
+def drawn(svg: Node) -> list[Node | str]:
+    """The parts of an svg element that show text, each followed by a space."""
+    out: list[Node | str] = []
+    todo = list(reversed(svg.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and not x.hidden and x.tag not in UNSEEN:
+            if x.tag in ("text", "foreignobject"):
+                out += [x, " "]
+            else:
+                todo += reversed(x.children)
     return out
 
 
@@ -171,6 +237,13 @@ def render(node: Node, depth: int = 0) -> list[str]:
             continue
         elif x.tag == "br":
             page.end()
+        elif x.tag == "svg":
+            stack += [(y, "") for y in reversed([" ", *drawn(x)])]
+        elif x.tag == "textarea":
+            page.end()
+            lines = [line.rstrip() for line in plain(x).strip("\n").split("\n")]
+            if any(lines):
+                page.put(lines)
         elif x.tag == "pre":
             page.end(1)
             page.put([line.rstrip() for line in plain(x).strip("\n").split("\n")])
@@ -194,20 +267,25 @@ def render(node: Node, depth: int = 0) -> list[str]:
             page.gap = 1
         elif x.tag == "table" and depth < DEEPEST:
             page.end(1)
+            found, stray = cells(x)
+            lines = render(Node("", children=stray), depth + 1)
+            if lines:
+                page.put(lines)
+                page.gap = 1
             for c in x.children:
                 if isinstance(c, Node) and c.tag == "caption" and not c.hidden:
                     page.put(render(c, depth + 1))
-            rows = [[" ".join(y for y in render(c, depth + 1) if y) for c in row] for row in cells(x)]
+            rows = [[" ".join(y for y in render(c, depth + 1) if y) for c in row] for row in found]
             width = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
             lines = [" | ".join(y.ljust(w) for y, w in zip(r, width, strict=False)).rstrip() for r in rows if any(r)]
             if lines:
                 page.put(lines)
             page.gap = 1
         else:
-            if x.tag in BLOCK:
+            if x.tag in BLOCK or x.tag in ("option", "optgroup"):
                 page.end(1 if x.tag in SPACED else 0)
                 stack.append((x, "end"))
-            elif x.tag in ("td", "th"):
+            elif x.tag in ("td", "th", "mi", "mn", "mo", "ms", "mtext"):
                 page.write(" ")
             stack += [(y, "") for y in reversed(x.children)]
     page.end()
@@ -224,7 +302,7 @@ def plain(node: Node) -> str:
         elif x.tag == "br":
             out.append("\n")
         elif not x.hidden and x.tag not in UNSEEN:
-            todo += reversed(x.children)
+            todo += reversed(drawn(x) if x.tag == "svg" else x.children)
     return "".join(out)
 
 

@@ -191,6 +191,34 @@ def test_html_layout():
     assert html.visible_text("a < b <3 </nope> <p") is not None
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<table><td>a</td><td>b<tr><td>c</table>", "a | b\nc"),
+        ("<table><tbody><td>a<th>b</tbody><tfoot><td>c</table>d", "a | b\nc\n\nd"),
+        ("<table>x<tr>y<td>a</td>z</tr></table>", "xyz\n\na"),
+        ("<table><div>x<tr><td>a</table>", "x\n\na"),
+        ("<table><form><tr><td>a<td>b</tr></form></table>c", "a | b\n\nc"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr></table>", "a | b"),
+        ("<table><tr><td>a<table><tr><td>b</table>c<td>d</table>", "a b c | d"),
+        ("<table><template><tr><td>no</template><caption>t<tr hidden><td>no<tr><td>a</table>", "t\na"),
+        ("<head><title>T</title><p>Hello", "Hello"),
+        ("<head><meta charset=x><title>T</title>Hello <b>you</b>", "Hello you"),
+        ("<html><head><noscript><p>no</p></noscript><template><p>no</template><style>no</style></head><body>Hello", "Hello"),
+        ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b", "a x = 1 2 b"),
+        ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><g><text>b<tspan>c</tspan></text>no</g><foreignObject><p>d</p></foreignObject><title/></svg>e", "a bc\n\nd\n\ne"),
+        ("<svg><path d='x'><p>Hello", "Hello"),
+        ("<textarea>\n i\n &lt;b></textarea>end", " i\n <b>\nend"),
+        ("İİİİ<textarea>a</textarea>b<script>no</script>c", "İİİİ\na\nbc"),
+        ("a<select><optgroup><option>b<option>c</select>d", "a\nb\nc\nd"),
+        ("a<dialog>no</dialog><dialog open>b</dialog><datalist><option>no</datalist>", "a\nb"),
+        ("<object data=x.swf>a</object><video>no</video>", "a"),
+    ],
+)
+def test_html_shows_all_visible_text(source, want):
+    assert html.visible_text(source) == want
+
+
 def test_ablations_are_bitwise(spark):
     book = quality.ledger(docs_of(spark, odd_texts()), "text", "doc_id")
     got = {r.rule: r for r in quality.ablations(book).collect()}
