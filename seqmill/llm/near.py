@@ -1,7 +1,7 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
-1. Every document keeps the k smallest hash values of its 2-word shingles. Equal shingle sets
-   form a class; only class representatives (smallest doc_id) go on.
+1. Every document keeps the k smallest hash values of its shingles, of two words in the query
+   and of five in the pipeline. A shorter text is one shingle. Equal shingle sets form a class; only class representatives (smallest doc_id) go on.
 2. Inverted lists: each three neighbouring retained values of a sketch are one list key. At a
    similarity of 0.8 or more, two sketches of 64 share no such run with a probability under
    1e-10. Sets of up to 40 values use runs of two, which two such sets always share.
@@ -31,6 +31,8 @@ from seqmill.llm.common import chunks, mix, rolling, settle, span_hashes, spans,
 from seqmill.llm.graph import components
 
 K = 64
+#: Words of a shingle in the pipeline.
+WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Union-sketch estimates under this drop a pair: far below the threshold for K values.
@@ -70,7 +72,7 @@ def sketches(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
                 inside = rows[: len(grams)] == rows[len(rows) - len(grams) :]
                 lone = np.flatnonzero((count > 0) & (count < width))
                 first = np.cumsum(count) - count
-                extra = [mix(words[first[d] : first[d] + count[d]].sum(keepdims=True) + np.uint64(count[d])) for d in lone.tolist()]
+                extra = [mix(rolling(words[first[d] : first[d] + count[d]], int(count[d])) + np.uint64(count[d])) for d in lone.tolist()]
                 values = np.concatenate([grams[inside], *extra]) >> np.uint64(1)
                 owner = np.concatenate([rows[: len(grams)][inside], lone])
                 by = np.lexsort((values, owner))
@@ -142,7 +144,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, k: int = K, floor: float = FLOO
     return both.where(shared >= floor * F.size("u")).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int = 2, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough.
 
     Only texts of documents in some pair are gathered; each pair row then carries its two texts.
@@ -157,8 +159,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
             good = []
             for a, t, u in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "tb")), strict=True):
                 if (a, t) != last:
-                    last, own = (a, t), shingles(t)
-                other = shingles(u)
+                    last, own = (a, t), shingles(t, width)
+                other = shingles(u, width)
                 both = len(own & other)
                 good.append(bool(both) and 100 * both >= percent * (len(own) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -178,7 +180,7 @@ def groups(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
     leaders = keys.groupBy("key").agg(F.min(order).alias("a"), F.max(order).alias("z")).where("a < z").select("key", F.col("a.rep").alias("a"))
     met = keys.join(leaders, "key").where("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"))
     best = met.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
-    links = confirmed(estimated(best, reps, k), docs)
+    links = confirmed(estimated(best, reps, k), docs, width)
     labels = components(links)
 
     # Pairs of one list that the stars leave in different components.
@@ -193,7 +195,7 @@ def groups(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
     alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
     cross = x.join(y, "key").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & alike)
     cross = cross.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-    more = confirmed(estimated(cross, reps, k), docs)
+    more = confirmed(estimated(cross, reps, k), docs, width)
     labels = components(links.unionByName(more))
 
     own = base.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2", "n"], "left")
@@ -207,6 +209,6 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Pipeline form: one document of each group (the smallest doc_id), whole."""
-    gone = groups(docs).where("doc_id != component_id").select("doc_id").distinct()
+    """Pipeline form: one document of each group of five-word shingles (the smallest doc_id), whole."""
+    gone = groups(docs, WIDTH).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -266,3 +266,59 @@ def test_near_links_whole_sets_with_cut_partners(spark):
     got = {r.doc_id: r.component_id for r in near.digest(docs_of(spark, texts)).collect()}
     assert got == {i: i - i % 2 if links[i // 2] else i for i in range(len(texts))}
     assert 0 < sum(links) < len(links)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Quality and decontamination by their SQL; lines, near copies by five words and tokens by brute force."""
+    import corpus_pipeline
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=7))
+    base, common, item = ([word() for _ in range(n)] for n in (200, 60, 30))
+    texts = [" ".join(base)]
+    for changed in (1, 3, 8, 8, 60):  # 8: alike by two words, not by five
+        w = list(base)
+        for p in rng.sample(range(200), changed):
+            w[p] = word()
+        texts.append(" ".join(w))
+    texts += [" ".join(common) + "\n" + end for end in ("alpha beta", "beta alpha", "alpha beta", *(word() for _ in range(10)))]
+    texts += [" ".join([word() for _ in range(40)] + item), "too short", "", None]
+    rows = [(i, t, "en", f"s{i}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def accepted(left, name, where):
+        con = duckdb.connect()
+        con.execute("create table documents (doc_id bigint, text varchar)")
+        con.execute("create table benchmark (item_id bigint, text varchar)")
+        con.executemany("insert into documents values (?, ?)", list(left.items()))
+        con.execute("insert into benchmark values (1, ?)", [" ".join(item)])
+        keep = {r[0] for r in con.execute(f"select doc_id from ({queries.ORACLE_SQL[name]}) where {where}").fetchall()}
+        return {d: t for d, t in left.items() if d in keep}
+
+    left = accepted(dict(enumerate(texts)), "op5_quality", "kept")
+    sites = {}
+    for d, t in left.items():
+        for line in t.split("\n"):
+            sites.setdefault(line.strip(), set()).add(f"s{d}")
+    left = {d: "\n".join(x for x in t.split("\n") if not x.strip() or len(sites[x.strip()]) < 10) for d, t in left.items()}
+    sets = {d: near.shingles(t, 5) for d, t in left.items()}
+    label = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    left = {d: t for d, t in left.items() if label[d] == d}
+    assert {3, 4, 6, 7} <= set(left) and not {1, 2, 8} & set(left)
+    left = accepted(left, "op2_decontaminate", "not contaminated")
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == set(left) and len(left) < len(texts)
+    for r in got:
+        ids = [*own.encode(left[r.doc_id], add_special_tokens=False).ids, 1]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
