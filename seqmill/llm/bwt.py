@@ -1,117 +1,119 @@
-"""Merging of shard Burrows-Wheeler transforms, and the repeated strings that fall out."""
+"""Merging of shard Burrows-Wheeler transforms, and the repeated strings that fall out.
+
+A transform lists, for suffixes in sorted order, the symbols before them. Here a symbol is eight
+bytes wide, and of each shard only the suffixes are listed that windows of the wanted depth lead
+to: the tails of its windows, which start as the empty string and grow by one symbol a round.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+PACK = 8
 
-class Shard:
-    """Transform of a set of byte strings, each closed by its own terminator.
 
-    ``bwt`` is the byte (plus one; 0 for a terminator) before each suffix in suffix order (one
-    byte wide for UTF-8, which has no byte 255),
-    ``text`` and ``place`` say which string and offset a suffix is. Suffixes are ordered by
-    their first ``depth`` bytes; no more is asked of them.
-    """
+class Symbols:
+    """Rank of the bytes before each place of a text, for each round of a window's refinement."""
+
+    def __init__(self, data: np.ndarray, depth: int) -> None:
+        padded = np.concatenate((data, np.zeros(PACK, np.uint8)))
+        whole = np.zeros(len(data), np.uint64)
+        for j in range(PACK):
+            whole = (whole << np.uint64(8)) | padded[j : j + len(data)]
+        self.rounds: list[tuple[int, np.ndarray]] = []
+        if depth % PACK:  # the tail that is no whole symbol
+            self.rounds.append((depth - depth % PACK, self._ranks(whole >> np.uint64(8 * (PACK - depth % PACK)))))
+        if depth >= PACK:
+            ranks = self._ranks(whole)
+            self.rounds += [(at, ranks) for at in range(depth - depth % PACK - PACK, -1, -PACK)]
+
+    @staticmethod
+    def _ranks(words: np.ndarray) -> np.ndarray:
+        return np.unique(words, return_inverse=True)[1].astype(np.uint64) << np.uint64(32)
 
-    def __init__(self, strings: list[bytes], numbers: np.ndarray, depth: int) -> None:
-        m = len(strings)
-        sizes = np.array([len(x) + 1 for x in strings], np.int64)
-        ends = np.cumsum(sizes)
-        s = np.zeros(int(ends[-1]), np.int64)
-        body = np.ones(len(s), bool)
-        body[ends - 1] = False
-        s[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-        # Ranks: terminators come first, by string; bytes after them.
-        rank = s + m - 1
-        rank[ends - 1] = np.arange(m)
-        owner = np.repeat(np.arange(m), sizes)
-        last = ends[owner] - 1
-        span, order = 1, np.argsort(rank, kind="stable")
-        open_ = np.arange(len(s))
-        while span < depth and len(open_):
-            follow = order[open_] + span
-            own = order[open_]
-            key = rank[own] * np.int64(len(s) + m + 260) + np.where(follow <= last[own], rank[np.minimum(follow, len(s) - 1)] + 1, 0)
-            by = np.argsort(key, kind="stable")
-            own, key = own[by], key[by]
-            order[open_] = own
-            new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            if span == 1:  # from symbols to places
-                rank = np.empty(len(s), np.int64)
-            rank[own] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
-            open_ = open_[~(new & np.concatenate((new[1:], [True])))]
-            span *= 2
-        first = ends - sizes
-        before = np.where(order == first[owner[order]], 0, s[order - 1])
-        self.bwt, self.text, self.place, self.m = before.astype(np.uint8 if before.max(initial=0) < 256 else np.uint16), numbers[owner[order]], order - first[owner[order]], m
-
-
-def merge(a: Shard, b: Shard, depth: int) -> tuple[Shard, np.ndarray]:
-    """One transform of both, and for each suffix whether it shares ``depth`` bytes with the one before.
-
-    The interleave of the two suffix orders starts as all of ``a`` then all of ``b`` and is
-    refined by one byte a round: the symbols before the suffixes, read in the present order,
-    are sorted stably. Neighbours part in the round that first tells them apart, which is their
-    common prefix; suffixes are never compared or sorted again.
+
+def refine(order: np.ndarray, starts: np.ndarray, symbols: Symbols, known: np.ndarray, shard: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of windows that are equal throughout: the windows in order, and which begin a block.
+
+    ``order`` is the interleave to begin with: all windows of the first shard, then those of the
+    next. Each round sorts it stably by the symbol before the present tails, so it is ordered by
+    one symbol more, and neighbours part in the round that first tells them apart. A block is
+    closed, and costs nothing more, when it holds one window, windows of one shard only (that
+    shard's own transform has settled them), or only windows known to be repeated.
     """
-    n, m = len(a.bwt) + len(b.bwt), a.m + b.m
-    na = len(a.bwt)
-    z = np.zeros(n, bool)
-    z[na:] = True
-    ends = np.zeros(m, bool)
-    ends[a.m :] = True
-    block = np.zeros(n, np.int32)
-    both = np.concatenate((a.bwt, b.bwt))
-    symbols, ordered = np.empty_like(both), np.sort(both, kind="stable")
-    parted = ordered[1:] != ordered[:-1]  # sorted symbols are the same in every round
-    for _ in range(depth):
-        symbols[~z], symbols[z] = a.bwt, b.bwt
-        by = np.argsort(symbols, kind="stable")  # a radix sort
-        z, part = z[by], block[by]
-        z[:m] = ends  # suffixes that are a terminator keep their strings' order
-        new = np.ones(n, bool)
-        new[1:] = parted | (part[1:] != part[:-1])
-        new[:m] = True
-        block = np.cumsum(new, dtype=np.int32)
-        if block[-1] == n:
+    block = np.zeros(len(order), np.int64)
+    first = np.zeros(min(1, len(order)), np.int64)
+    low = np.uint64(0xFFFFFFFF)
+    for offset, ranks in symbols.rounds:
+        n = len(order)
+        if n == 0:
             break
-    at = np.empty(n, np.int64)
-    at[~z], at[z] = np.arange(na), np.arange(na, n)
-    out = object.__new__(Shard)
-    out.bwt, out.m = both[at], m
-    out.text, out.place = np.concatenate((a.text, b.text))[at], np.concatenate((a.place, b.place))[at]
-    alike = np.zeros(n, bool)
-    alike[1:] = block[1:] == block[:-1]
-    return out, alike
-
-
-def repeated(strings: list[bytes], depth: int, shard_bytes: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of every ``depth``-byte substring that starts at two places or more."""
-    shards, part, size, numbers = [], [], 0, []
-    for i, x in enumerate(strings):
-        part.append(x)
-        numbers.append(i)
-        size += len(x)
-        if size >= shard_bytes:
-            shards.append(Shard(part, np.array(numbers), depth))
-            part, numbers, size = [], [], 0
-    if part:
-        shards.append(Shard(part, np.array(numbers), depth))
-    if len(shards) == 1:
-        shards.append(Shard([b""], np.array([-1]), depth))
-    alike = np.zeros(0, bool)
-    while len(shards) > 1:
-        pairs = [shards[i : i + 2] for i in range(0, len(shards), 2)]
-        shards = []
-        for pair in pairs:
-            if len(pair) == 2:
-                merged, alike = merge(*pair, depth)
-                shards.append(merged)
-            else:
-                shards += pair
-    if not shards:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one = alike | np.concatenate((alike[1:], [False]))
-    return shards[0].text[one], shards[0].place[one]
+        key = ranks[starts[order] + offset] | np.arange(n, dtype=np.uint64)
+        key.sort()
+        by = (key & low).astype(np.int64)
+        key >>= np.uint64(32)
+        order, block = order[by], block[by]
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, n))
+        open_ = (size > 1) & ~np.logical_and.reduceat(known[order], first)
+        if shard is not None:
+            of = shard[order]
+            open_ &= np.minimum.reduceat(of, first) != np.maximum.reduceat(of, first)
+        held = np.repeat(open_, size)
+        order, size = order[held], size[open_]
+        block = np.repeat(np.arange(len(size)), size)
+        first = np.cumsum(size) - size
+    begins = np.zeros(len(order), bool)
+    begins[first[: len(order)]] = True
+    return order, begins
+
+
+def repeated(strings: list[bytes], depth: int, weights: np.ndarray | None = None, shard_bytes: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (string, first, last) of the starts of ``depth``-byte windows that are found twice or more.
+
+    ``weights`` says how often a string is there; what is there twice repeats throughout. Shards
+    are refined by themselves, then merged two by two: a merge takes one window of each kind from
+    either shard, and only blocks that hold both shards stay open.
+    """
+    sizes = np.array([len(x) for x in strings], np.int64)
+    count = np.maximum(sizes - depth + 1, 0)
+    owner = np.repeat(np.arange(len(strings)), count)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    starts = (np.cumsum(sizes) - sizes)[owner] + within
+    known = np.zeros(len(owner), bool) if weights is None else (np.asarray(weights) > 1)[owner]
+    if len(owner):
+        symbols = Symbols(np.frombuffer(b"".join(strings), np.uint8), depth)
+        part = ((np.cumsum(sizes) - sizes) // shard_bytes)[owner]
+        shards = [np.flatnonzero(part == p) for p in np.unique(part)]
+
+        def settled(order: np.ndarray, shard: np.ndarray | None) -> np.ndarray:
+            """Marks the windows of equal blocks; the windows that add no new kind."""
+            same, begins = refine(order, starts, symbols, known, shard)
+            known[same] = True
+            return same[~begins]
+
+        extra = [settled(s, None) for s in shards]
+        twin = np.zeros(len(owner), bool)
+        for e in extra:
+            twin[e] = True
+        shards = [s[~twin[s]] for s in shards]
+        number = np.zeros(len(owner), np.int32)
+        while len(shards) > 1:
+            merged = []
+            for i in range(0, len(shards), 2):
+                pair = shards[i : i + 2]
+                if len(pair) == 2:
+                    number[pair[0]], number[pair[1]] = 0, 1
+                    both = np.concatenate(pair)
+                    twin[settled(both, number)] = True
+                    pair = [both[~twin[both]]]
+                merged += pair
+            shards = merged
+    found = np.flatnonzero(known)
+    run = np.ones(len(found), bool)
+    run[1:] = (np.diff(found) != 1) | (owner[found[1:]] != owner[found[:-1]])
+    a = np.flatnonzero(run)
+    z = np.append(a[1:], len(found))[: len(a)] - 1
+    return owner[found[a]], within[found[a]], within[found[z]]

@@ -3,18 +3,22 @@
 1. Every window of ``length`` bytes chooses a winnowed anchor, so equal windows meet under one
    anchor at one offset. Anchors that occur once are dropped.
 2. The stretch of windows that chose an anchor is hashed (128 bits with the anchor). Equal
-   stretches are one kind; a kind that occurs twice is repeated throughout.
-3. Where an anchor has several kinds, one stretch of each goes, as bytes, to the anchor's
-   bucket. A bucket's stretches are split into shards, the shards' transforms are merged by
-   interleave refinement, and the common prefixes that this yields give every window that
-   starts at two places.
-
-Buckets are many and bounded: their number follows the bytes to be sorted, and an anchor with
-more than ``most`` kinds is compared by window hashes (128 bits) instead, which pre-aggregate.
-
-Defined cases: null or empty text has no bytes; texts under ``length`` bytes stay whole; rows
-that share a doc_id must share their text and count as one document; a null doc_id meets no
-other and stays whole; an empty table gives an empty table; other columns are ignored.
+   stretches are one kind, counted before anything is gathered; a kind found twice repeats
+   throughout.
+3. Where an anchor has several kinds, one stretch of each goes, as bytes and with its count, to
+   the anchor's bucket. A bucket's stretches are split into shards, the shards' transforms are
+   merged by interleave refinement, and the blocks of common prefixes that this leaves are the
+   windows that start at two places.
+4. A hot anchor, with more than ``most`` kinds, is no bucket yet: its windows choose longer
+   anchors, half of them to the right and half to the left, and steps 1 to 3 are done again with
+   these. Each time half as many windows share an anchor, so the last anchors are whole windows.
+
+Buckets are many and bounded: their number follows the bytes to be sorted, and no anchor brings
+more than ``most`` kinds of at most 2 * ``length`` bytes.
+
+Defined cases: null or empty text has no bytes; texts under ``length`` bytes stay whole; each row
+is a document of its own, with a null doc_id or a repeated one too (rows with the same doc_id and
+text have the same spans); an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +26,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.llm.anchors import Ranges, winnow
@@ -34,113 +37,164 @@ from seqmill.llm.common import _RANDOM, chunks, settle, text_bytes
 LENGTH = 200
 ANCHOR = 96
 CHUNK = 1_000_000
-BUCKET_BYTES = 96_000
-MOST_KINDS = 400
-PLACED = "doc_id long, start long, end long"
+BUCKET_BYTES = 2_000_000
+MOST_KINDS = 1000
+#: A row of the table is (doc_id, tk): tk tells texts apart that share a doc_id.
+PLACED = "doc_id long, tk int, start long, end long"
 
 
-def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, offsets = text_bytes(column)
-    return data, offsets, np.repeat(np.arange(len(column), dtype=np.int32), np.diff(offsets))
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.hash("text").alias("tk"), "text")
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tk"] == b["tk"])
+
+
+def _packed(lo: np.ndarray, span: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """First window, further windows, the anchor's place from there, and its size, in 64 bits."""
+    return (lo << 24) | (span << 16) | (offset << 8) | size
 
 
 def stretches(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(a, c, doc_id, at): anchor, hash of the stretch, and first window * 256 + further windows."""
+    """(a, c, n, doc_id, tk, at): anchor, hash of the stretch, 1, the row, and ``_packed`` place."""
+    if not 0 < k <= length < 256:
+        raise ValueError("windows have at most 255 bytes, and anchors are no longer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
-                data, offsets, rows = _bytes(part.column("text"))
-                ids = part.column("doc_id").cast(pa.int64())
+                data, offsets = text_bytes(part.column("text"))
+                rows = np.repeat(np.arange(part.num_rows, dtype=np.int32), np.diff(offsets))
                 ranges = Ranges(_RANDOM[0][data])
                 anchor, lo, hi, a = winnow(ranges, rows, length, k)
                 c = ranges.of(lo, hi + length) ^ (anchor - lo).astype(np.uint64)
-                own = rows[lo]
-                at = ((lo - offsets[own]) << 8) | (hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(pa.array(own)), pa.array(at)], names=["a", "c", "doc_id", "at"])
+                own = pa.array(rows[lo])
+                at = _packed(lo - offsets[rows[lo]], hi - lo, anchor - lo, np.int64(k))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), part.column("doc_id").cast(pa.int64()).take(own), part.column("tk").take(own), pa.array(at)], names=["a", "c", "doc_id", "tk", "at"])
 
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "a long, c long, doc_id long, at long")
+    rows = _rows(docs).where(F.octet_length("text") >= length)
+    return rows.mapInArrow(run, "a long, c long, doc_id long, tk int, at long").select("a", "c", F.lit(1).cast("long").alias("n"), "doc_id", "tk", "at")
 
 
-def _fragments(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """The bytes of stretches: (a, hot, doc_id, at, body)."""
-    by = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "hot", "at")).alias("runs"))
-    rows = docs.select("doc_id", "text").join(by, "doc_id")
+def _with_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows with the stretches asked of them, as parallel lists."""
+    by = asked.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("a", "n", "at")).alias("runs"))
+    rows = _rows(docs)
+    return rows.join(by, _same_row(rows, by)).select(rows["doc_id"], rows["tk"], "text", "runs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text", CHUNK):
-                a, hot, ids, at, body = [], [], [], [], []
-                for i, t, runs in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
-                    data = t.encode()
-                    for r in runs:
-                        start = r["at"] >> 8
-                        a.append(r["a"])
-                        hot.append(r["hot"])
-                        ids.append(i)
-                        at.append(r["at"])
-                        body.append(data[start : start + (r["at"] & 255) + length])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(hot, pa.bool_()), pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(body, pa.binary())], names=["a", "hot", "doc_id", "at", "body"])
-
-    return rows.mapInArrow(run, "a long, hot boolean, doc_id long, at long, body binary")
-
-
-def _by_transform(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated windows within buckets of anchors, from merged transforms."""
 
-    def bucket(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["a", "doc_id", "at"])
-        which, place = repeated(group["body"].tolist(), length)
-        at = group["at"].to_numpy()[which]
-        start = (at >> 8) + place
-        return pd.DataFrame({"doc_id": group["doc_id"].to_numpy()[which], "start": start, "end": start + length})
+def _fields(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    runs = part.column("runs")
+    owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(runs.offsets)))
+    flat = runs.flatten()
+    a, n, at = (np.asarray(flat.field(f)).astype(np.int64) for f in ("a", "n", "at"))
+    return owner, a, n, at
 
-    size = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = max(1, size // BUCKET_BYTES)
-    return pieces.groupBy(F.pmod("a", F.lit(n)).alias("bucket")).applyInPandas(bucket, PLACED)
 
+def longer(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """The stretches of hot anchors, each parted in two that share longer anchors; as ``stretches``.
 
-def _by_hash(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of anchors with very many kinds."""
+    The windows of a stretch start between the anchor's end less ``length`` and its begin. Those
+    of the first half have all bytes from the last of them on in common, those of the second half
+    all bytes up to the end of the first of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "body", CHUNK // 4):
-                w1, w2, ids, starts = [], [], [], []
-                for i, at, body in zip(*(part.column(c).to_pylist() for c in ("doc_id", "at", "body")), strict=True):
-                    s = np.arange(len(body) - length + 1)
-                    for out, f in ((w1, 0), (w2, 1)):
-                        out.append(Ranges(_RANDOM[f][np.frombuffer(body, np.uint8)], f).of(s, s + length).view(np.int64))
-                    ids.append(np.full(len(s), i))
-                    starts.append(s + (at >> 8))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (w1, w2, ids, starts)], names=["w1", "w2", "doc_id", "start"])
+            for part in chunks(batch, "text", CHUNK):
+                data, offsets = text_bytes(part.column("text"))
+                owner, a, n, at = _fields(part)
+                ranges = Ranges(_RANDOM[1][data], 1)
+                lo = (at >> 24) + offsets[owner]
+                hi, p = lo + ((at >> 16) & 255), lo + ((at >> 8) & 255)
+                q = p + (at & 255)
+                mid = (q - length + p) >> 1  # the last window of the first half, wherever the stretch begins
+                out = []
+                for side, (x, y, u, v) in enumerate(((lo, np.minimum(hi, mid), mid, q), (np.maximum(lo, mid + 1), hi, p, mid + 1 + length))):
+                    s = np.flatnonzero(x <= y)
+                    x, y, u, v = x[s], y[s], u[s], v[s]
+                    key = (ranges.of(u, v) ^ np.uint64(side)) * np.uint64(0x9E3779B97F4A7C15) ^ a[s].view(np.uint64)
+                    c = ranges.of(x, y + length) ^ (u - x).astype(np.uint64)
+                    out.append((key.view(np.int64), c.view(np.int64), n[s], owner[s], _packed(x - offsets[owner[s]], y - x, u - x, v - u)))
+                key, c, n, own, at = (np.concatenate(z) for z in zip(*out, strict=True))
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(n), part.column("doc_id").take(own), part.column("tk").take(own), pa.array(at)], names=["a", "c", "n", "doc_id", "tk", "at"])
+
+    return _with_texts(docs, asked).mapInArrow(run, "a long, c long, n long, doc_id long, tk int, at long")
+
+
+def _kinds(found: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of stretches found twice, and a stretch of each kind of the anchors that have several."""
+    met = found.groupBy("a").agg(F.sum("n").alias("t")).where("t > 1").select("a")
+    shared = settle(found.join(met, "a", "left_semi"))
+    kinds = shared.groupBy("a", "c").agg(F.sum("n").alias("t"), F.min(F.struct("doc_id", "tk", "at")).alias("one"))
+    several = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
+    kinds = settle(kinds.join(several, "a").where("t > 1 OR kinds > 1"))
+    start = F.shiftright("at", 24)
+    end = start + F.shiftright("at", 16).bitwiseAND(255) + length
+    twice = shared.where("n = 1").join(kinds.where("t > 1").select("a", "c"), ["a", "c"], "left_semi")
+    inside = settle(twice.select("doc_id", "tk", start.alias("start"), end.alias("end")))
+    asked = kinds.where("kinds > 1").select("a", F.col("t").alias("n"), "one.*", (F.col("kinds") > most).alias("hot"))
+    return inside, asked
 
-    windows = pieces.select("doc_id", "at", "body").mapInArrow(run, "w1 long, w2 long, doc_id long, start long")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"], "left_semi").select("doc_id", "start", (F.col("start") + length).alias("end"))
+
+def _by_transform(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """Repeated windows within buckets of anchors, from merged transforms."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", CHUNK):
+                data, offsets = text_bytes(part.column("text"))
+                owner, a, n, at = _fields(part)
+                start = (at >> 24) + offsets[owner]
+                size = ((at >> 16) & 255) + length
+                places = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+                edges = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data[places]))])
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), part.column("doc_id").take(own), part.column("tk").take(own), pa.array(at >> 24), body], names=["a", "n", "doc_id", "tk", "start", "body"])
+
+    def bucket(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(c, "ascending") for c in ("a", "doc_id", "tk", "start")])
+        which, first, last = repeated(group["body"].to_pylist(), length, np.asarray(group["n"]))
+        lone = np.asarray(group["n"])[which] == 1  # the others are spans already
+        which, first, last = which[lone], first[lone], last[lone]
+        start = np.asarray(group["start"])[which] + first
+        return pa.table({"doc_id": group["doc_id"].take(which), "tk": group["tk"].take(which), "start": start, "end": start + last - first + length})
+
+    pieces = settle(_with_texts(docs, asked).mapInArrow(cut, "a long, n long, doc_id long, tk int, start long, body binary"))
+    size = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    n = max(1, size // BUCKET_BYTES)
+    return settle(pieces.groupBy(F.pmod("a", F.lit(n)).alias("bucket")).applyInArrow(bucket, PLACED))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST_KINDS) -> DataFrame:
-    """(doc_id, start, end): byte spans covered by windows that start at two places or more."""
-    found = settle(stretches(docs, length, k).distinct())
-    met = found.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    shared = settle(found.join(met, "a", "left_semi"))
-    kinds = shared.groupBy("a", "c").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    several = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
-    placed = settle(shared.join(kinds, ["a", "c"]).join(several, "a").where("n > 1 OR kinds > 1"))
-    end = F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + length
-    inside = placed.where("n > 1").select("doc_id", F.shiftright("at", 8).alias("start"), end.alias("end"))
-    asked = placed.where("kinds > 1 AND doc_id = first").groupBy("a", "c", "doc_id").agg(F.min("at").alias("at"), F.max("kinds").alias("kinds"))
-    pieces = settle(_fragments(docs, asked.select("a", "doc_id", "at", (F.col("kinds") > most).alias("hot")), length))
-    cold = settle(_by_transform(pieces.where("NOT hot"), length))
-    return inside.unionByName(cold).unionByName(settle(_by_hash(pieces.where("hot"), length)))
+    """(doc_id, tk, start, end): byte spans covered by windows that start at two places or more."""
+    found, spans, plain, slack = settle(stretches(docs, length, k)), [], [], length - k
+    while True:
+        inside, asked = _kinds(found, length, most)
+        asked = settle(asked)
+        spans.append(inside)
+        plain.append(asked.where("NOT hot"))
+        hot = asked.where("hot")
+        if slack <= 0 or hot.isEmpty():
+            break
+        found, slack = settle(longer(docs, hot, length)), slack // 2
+    asked = plain[0]
+    for more in plain[1:]:
+        asked = asked.unionByName(more)
+    out = _by_transform(docs, asked, length)
+    for more in spans:
+        out = out.unionByName(more)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR, most: int = MOST_KINDS) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (maximal removed byte runs), kept (binary)."""
-    gone = settle(repeats(docs, length, k, most)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
+    gone = settle(repeats(docs, length, k, most)).groupBy("doc_id", "tk").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    rows = _rows(docs)
+    rows = rows.join(gone, _same_row(rows, gone), "left").select(rows["doc_id"], "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -72,9 +72,11 @@ def test_substrings_equal_brute_force(spark):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), len(out), hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("most", [400, 1])
+@pytest.mark.parametrize("most", [suffixes.MOST_KINDS, 1])
 def test_suffixes_equal_brute_force(spark, most):
+    """With few kinds allowed, anchors are hot and choose longer ones, down to whole windows."""
     texts = odd_texts()
+    texts += [f"{i} " * 50 + texts[6] + f" {i * i}" * 60 for i in range(9)]
     data = [(t or "").encode() for t in texts]
     seen = Counter(x[i : i + 200] for x in data for i in range(len(x) - 199))
     got = {r.doc_id: r for r in suffixes.dedup(docs_of(spark, texts), most=most).collect()}
@@ -86,14 +88,15 @@ def test_suffixes_equal_brute_force(spark, most):
 def test_merged_transforms_find_all_repeats():
     rng = random.Random(1)
     for _ in range(60):
-        depth, sigma = rng.choice([1, 2, 5, 16]), rng.choice([1, 2, 26])
+        depth, sigma = rng.choice([1, 2, 5, 8, 16, 19]), rng.choice([1, 2, 26])
         strings = [bytes(rng.choices(range(sigma), k=rng.randrange(60))) for _ in range(rng.randrange(1, 9))]
         where = {}
         for i, x in enumerate(strings):
             for j in range(len(x) - depth + 1):
                 where.setdefault(x[j : j + depth], []).append((i, j))
-        a, b = repeated(strings, depth, rng.choice([1, 50, 10_000]))
-        assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == sorted(p for v in where.values() if len(v) > 1 for p in v)
+        weights = np.array([rng.choice([1, 1, 2]) for _ in strings])
+        runs = zip(*(x.tolist() for x in repeated(strings, depth, weights, rng.choice([1, 50, 10_000]))), strict=True)
+        assert sorted((i, j) for i, a, z in runs for j in range(a, z + 1)) == sorted(p for v in where.values() if sum(weights[i] for i, _ in v) > 1 for p in v)
 
 
 @pytest.mark.parametrize("block", [32_000_000, 100])
