@@ -5,11 +5,11 @@
 2. Inverted lists: each three neighbouring retained values of a sketch are one list key. At a
    similarity of 0.8 or more, two sketches of 64 share no such run with a probability under
    1e-10. Sets of up to 40 values use runs of two, which two such sets always share.
-3. Sketches whose values are nowhere else go; of the others, every representative first meets
-   the list leader (fewest values of its own) it shares most keys with. Then only pairs of one
-   list that are still in different components are compared, and only if the parities of 1024
-   bins of their full sets, which bound the difference of two sets exactly, allow a link. So a
-   large group of near copies costs a star, not all of its pairs.
+3. Keys that only one sketch has go. Every representative first meets the list leader (most
+   shared keys) it shares most keys with. Then only pairs of one list that are still in different
+   components are compared, and only if the parities of 1024 bins of their full sets, which bound
+   the difference of two sets exactly, allow a link. So a large group of near copies costs a star,
+   not all of its pairs.
 4. The union sketch of a pair estimates the similarity and drops hopeless pairs (a true link is
    lost with a probability under 1e-7); the full shingle sets confirm the rest exactly.
 
@@ -98,31 +98,8 @@ def sketches(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def _lone(sets: DataFrame) -> DataFrame:
-    """(s1, lone): how many values of each set (s1, sketch) are in no other one.
-
-    A value that occurs once names its only owner, so one pre-aggregated shuffle does.
-    """
-    values = sets.select(F.explode("sketch").alias("v"), "s1")
-    return values.groupBy("v").agg(F.count("*").alias("c"), F.min("s1").alias("s1")).where("c = 1").groupBy("s1").agg(F.count("*").alias("lone"))
-
-
-def supported(reps: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
-    """``reps`` that may link at all, with ``lone``, their retained values that no other sketch has.
-
-    What two whole sets share is in two sketches. A set of n values that is retained whole has the
-    threshold's share of such values; a partner that has all of them and is as large as a link
-    allows loses all but k of its own, which may all be shared ones, so n less that loss is enough
-    (an exact bound, lower from n = 61 on). A cut sketch needs ``floor`` of them.
-    """
-    whole = F.least(F.lit(PERCENT) * F.col("n"), F.lit(100 * k) - (F.lit(10_000 / PERCENT) - 100) * F.col("n"))
-    least = F.when(F.col("n") <= k, whole).otherwise(F.lit(100 * floor) * F.size("sketch"))
-    held = reps.join(_lone(reps), "s1", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-    return held.where(100 * (F.size("sketch") - F.col("lone")) >= least)
-
-
 def list_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep, n, lone): a row for each three neighbouring retained values (two in small sets).
+    """(key, rep): a row for each three neighbouring retained values (two in small sets).
 
     Two whole sets that are similar enough always share a run of two: their union of u values has
     at least 0.8 u in common, parted in at most 0.2 u places. Linked sets differ in size by a
@@ -131,7 +108,20 @@ def list_keys(reps: DataFrame) -> DataFrame:
     run = lambda w: F.when(F.size("sketch") >= w, F.transform(F.sequence(F.lit(0), F.size("sketch") - w), lambda i: F.xxhash64(F.lit(w), *[F.get("sketch", i + j) for j in range(w)])))
     none = F.array().cast("array<bigint>")
     pairs, triples = F.when(F.col("n") <= 40, run(2)), F.when(F.col("n") >= 30, run(3))
-    return reps.select(F.explode(F.concat(F.coalesce(pairs, none), F.coalesce(triples, none))).alias("key"), "rep", "n", "lone")
+    return reps.select(F.explode(F.concat(F.coalesce(pairs, none), F.coalesce(triples, none))).alias("key"), "rep")
+
+
+def shared_lists(reps: DataFrame) -> DataFrame:
+    """(key, rep, order): lists of two representatives or more; ``order`` is smallest for the one with most shared keys.
+
+    Most keys are nowhere else; they go before anything else is carried. The text that a family of
+    near copies was made from shares all its keys, so it leads their lists.
+    """
+    keys = list_keys(reps)
+    met = keys.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("key")
+    lists = settle(keys.join(met, "key", "left_semi"))
+    degree = lists.groupBy("rep").agg(F.count("*").alias("degree"))
+    return settle(lists.join(degree, "rep").select("key", "rep", F.struct((-F.col("degree")).alias("d"), "rep").alias("order")))
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
@@ -172,24 +162,23 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int = 2, percent: int =
 def groups(docs: DataFrame, width: int = 2, k: int = K) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     base = settle(sketches(docs, width, k))
-    classes = base.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = settle(base.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")))
     reps = base.join(classes.select("s1", "s2", "n", F.col("rep").alias("doc_id")), ["s1", "s2", "n", "doc_id"], "left_semi")
-    reps = settle(supported(settle(reps.select(F.col("doc_id").alias("rep"), "n", "s1", "sketch", *ODD)), k).select("rep", "n", "lone", "sketch", *ODD))
-    keys = list_keys(reps)
-    order = F.struct("lone", "rep")
-    leaders = keys.groupBy("key").agg(F.min(order).alias("a"), F.max(order).alias("z")).where("a < z").select("key", F.col("a.rep").alias("a"))
-    met = keys.join(leaders, "key").where("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"))
+    reps = settle(reps.select(F.col("doc_id").alias("rep"), "n", "sketch", *ODD))
+    lists = shared_lists(reps)
+    leaders = lists.groupBy("key").agg(F.min("order").alias("a")).select("key", F.col("a.rep").alias("a"))
+    met = lists.join(leaders, "key").where("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("c"))
     best = met.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
     links = confirmed(estimated(best, reps, k), docs, width)
     labels = components(links)
 
     # Pairs of one list that the stars leave in different components.
-    placed = keys.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
+    placed = lists.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
     placed = settle(placed.join(mixed, "key", "left_semi"))
     # Parities of bins part two sets in no more bins than they have different values, and a
     # link allows a ninth of both sizes: an exact bound, so close families yield few pairs.
-    placed = placed.join(reps.select("rep", "n", *ODD), ["rep", "n"])
+    placed = placed.join(reps.select("rep", "n", *ODD), "rep")
     x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp", *ODD)]) for s in "ab")
     apart = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in ODD[1:]), F.bit_count(F.col("o0_a").bitwiseXOR(F.col("o0_b"))))
     alike = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b")))
