@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
 columns of ``documents``. The packing stage has no SQL form, so ORACLE_SQL is None.
+
+Defined cases: a null or empty text fails the quality rules and goes; repeated rows (same doc_id
+and text) stay together or go together; a null doc_id is a near copy of nothing; further columns,
+whatever their names, pass through all stages but the last; an empty table gives an empty table.
 """
 
 from __future__ import annotations

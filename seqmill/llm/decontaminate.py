@@ -6,32 +6,33 @@ sorted, and the Burrows-Wheeler transform goes into a wavelet matrix with rank c
 test phrases are searched backwards at once; occurrences are located by walking to sampled
 suffix positions, and their word spans are merged. Documents are never shuffled.
 
-Only the phrases travel to the executors. Their size is checked: benchmarks beyond
-``block_bytes`` are searched in several passes over blocks of items, and the spans united.
+Only the phrases travel to the executors. Their size is checked: a benchmark beyond
+``block_bytes`` is gathered and searched block by block, and the spans united.
 
 Defined cases: null or wordless text has no hits; wordless items and items without an id are
-never found; empty tables give no hits; repeated rows are judged each on its own (with several
-blocks, rows that share a doc_id and text are united); other columns are ignored.
+never found; empty tables give no hits; repeated rows are judged each on its own; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmill.llm.common import chunks, span_hashes, spans, text_bytes
+from seqmill.llm.common import chunks, named, settle, span_hashes, spans, text_bytes
 
 WIDTH = 13
 #: A document is contaminated if at least one word in RATIO is hit.
 RATIO = 20
 SHARD_BYTES = 2_000_000
 SAMPLE = 8
-SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
+KEYS = ["doc_id", "t1", "t2"]
+FOUND = ", n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -198,45 +199,73 @@ def judge(column: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, l
     return n_words, np.bincount(rows[hit], minlength=n), [sorted(set(x)) for x in items], merged
 
 
-def phrase_blocks(benchmark: DataFrame, block_bytes: int) -> list[Phrases]:
-    """The test phrases, in blocks of about ``block_bytes`` of text each."""
+def phrase_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable[[int], Phrases]]:
+    """Number of blocks of about ``block_bytes`` of test text, and what gathers one of them."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    blocks = [items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i) for i in range(n)] if n > 1 else [items]
-    out = []
-    for block in blocks:
-        rows = block.collect()  # one block of the benchmark, never documents
-        out.append(Phrases([r.id for r in rows], [r.text for r in rows]))
-    return out
 
+    def block(i: int) -> Phrases:
+        rows = (items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i) if n > 1 else items).collect()  # one block of the benchmark, never documents
+        return Phrases([r.id for r in rows], [r.text for r in rows])
 
-def find(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes: int = 32_000_000) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (sorted), spans (merged word spans)."""
+    return n, block
+
+
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits of the text tell rows apart that share a doc_id; rows alike have the same results."""
+    return [doc_id.alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2")]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*_keys(F.col("doc_id"), F.col("text")), "text")
 
-    def searched(phrases: Phrases) -> DataFrame:
-        held = docs.sparkSession.sparkContext.broadcast(phrases)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            for batch in batches:
-                for part in chunks(batch, "text", shard_bytes):
-                    n_words, n_hit, items, merged = judge(part.column("text"), held.value)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(merged, span)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+def _judged(rows: DataFrame, phrases: Phrases, shard_bytes: int, keys: list[str]) -> DataFrame:
+    """``keys``, n_words, n_hit, items, spans of each row, searched for one block of phrases."""
+    held = rows.sparkSession.sparkContext.broadcast(phrases)  # one block
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        for batch in batches:
+            for part in chunks(batch, "text", shard_bytes):
+                n_words, n_hit, items, merged = judge(part.column("text"), held.value)
+                own = [part.column(k).cast(pa.int64()) for k in keys]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(merged, span)], names=[*keys, "n_words", "n_hit", "items", "spans"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return rows.select(*keys, "text").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + FOUND)
 
-    passes = [searched(p) for p in phrase_blocks(benchmark, block_bytes)]
-    if len(passes) == 1:
-        return passes[0]
-    united = reduce(DataFrame.unionAll, passes).groupBy("doc_id", "n_words")
+
+def _united(rows: DataFrame, n: int, block: Callable[[int], Phrases], shard_bytes: int) -> DataFrame:
+    """Keys, n_words, items and merged spans of the rows with hits, over all blocks."""
+    hits = [settle(_judged(rows, block(i), shard_bytes, KEYS).where("n_hit > 0").distinct()) for i in range(n)]
+    united = reduce(DataFrame.unionAll, hits).groupBy(*KEYS, "n_words")
     united = united.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"))
     merge = (
         "aggregate(s, cast(array() as array<struct<start:int,end:int>>), (acc, x) -> CASE WHEN size(acc) > 0 AND element_at(acc, -1).end >= x.start "
         "THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end)))) ELSE concat(acc, array(x)) END)"
     )
-    united = united.withColumn("spans", F.expr(merge))
-    return united.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)").alias("n_hit"), "items", "spans")
+    united = united.withColumn("spans", F.expr(merge)).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)"))
+    return united.select(*[F.col(c).alias(f"_{c}") for c in (*KEYS, "n_words", "n_hit", "items", "spans")])
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[f"_{k}"]) for k in KEYS])
+
+
+def find(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes: int = 32_000_000) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, items (sorted), spans (merged word spans).
+
+    A benchmark of several blocks is gathered, broadcast and searched block by block; only rows
+    with hits are kept of a block, and united by row at the end.
+    """
+    n, block = phrase_blocks(benchmark, block_bytes)
+    if n == 1:
+        return _judged(docs, block(0), shard_bytes, ["doc_id"])
+    rows = _keyed(docs)
+    united, counted = _united(rows, n, block, shard_bytes), _judged(rows, Phrases([], []), shard_bytes, KEYS)
+    out = counted.join(united, _same(counted, united), "left")
+    return out.select("doc_id", "n_words", *[F.coalesce(f"_{c}", c).alias(c) for c in ("n_hit", "items", "spans")])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -248,21 +277,21 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, shard_bytes: int = SHARD_BYTES, block_bytes: int = 32_000_000) -> DataFrame:
-    """Pipeline form: the documents that aren't contaminated, whole and with their own columns."""
-    held = docs.sparkSession.sparkContext.broadcast(phrase_blocks(benchmark, block_bytes))
+    """Pipeline form: the rows that aren't contaminated, whole and with their own columns."""
+    n, block = phrase_blocks(benchmark, block_bytes)
+    if n > 1:
+        names = docs.columns
+        rows = docs.select(F.struct(*map(named, names)).alias("doc"), *_keys(named("doc_id"), named("text")))
+        united = _united(_keyed(docs), n, block, shard_bytes).where(f"{RATIO} * _n_hit >= _n_words")
+        return rows.join(united, _same(rows, united), "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in names])
+    held = docs.sparkSession.sparkContext.broadcast(block(0))
+    text = f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", shard_bytes):
-                hit = np.zeros(0, bool)
-                words, rows = hashed_words(part.column("text"))
-                edge = np.zeros(len(words) + 1, np.int64)
-                for phrases in held.value:
-                    at, which = occurrences(words, rows, part.num_rows, phrases)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + phrases.length[which], -1)
-                hit = np.cumsum(edge)[:-1] > 0
-                n_words, n_hit = np.bincount(rows, minlength=part.num_rows), np.bincount(rows[hit], minlength=part.num_rows)
+            for part in chunks(batch, text, shard_bytes):
+                n_words, n_hit, _, _ = judge(part.column(text), held.value)
                 yield part.filter(pa.array(~((n_hit > 0) & (RATIO * n_hit >= n_words))))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # Arrow takes no names with dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -52,8 +52,8 @@ def _visible(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[text], rows[text]
 
 
-def fit(documents: DataFrame, max_rows: int = 4_000, most: int = 32) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (language x bucket) from at most ``max_rows`` labelled documents."""
+def fit(documents: DataFrame, max_rows: int = 4_000) -> tuple[list[str], np.ndarray]:
+    """All languages of at most ``max_rows`` labelled documents, and log-probabilities (language x bucket)."""
     chosen = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = documents.select("doc_id", "text", "lang").where("lang IS NOT NULL").join(F.broadcast(chosen.distinct()), "doc_id")
 
@@ -68,8 +68,7 @@ def fit(documents: DataFrame, max_rows: int = 4_000, most: int = 32) -> tuple[li
 
     counts = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # at most BUCKETS rows for each language of the sample
-    size = got.groupby("lang")["n"].sum().sort_values(ascending=False)
-    langs = sorted(size.index[:most])
+    langs = sorted(got["lang"].unique())
     table = np.full((len(langs), BUCKETS), 0.5)
     for i, lang in enumerate(langs):
         own = got[got["lang"] == lang]
@@ -79,7 +78,7 @@ def fit(documents: DataFrame, max_rows: int = 4_000, most: int = 32) -> tuple[li
 
 def evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """Per page: page_id, host, suffix, declared, ll (log-likelihood of the text by language)."""
-    held = pages.sparkSession.sparkContext.broadcast(model)  # most languages x BUCKETS doubles
+    held = pages.sparkSession.sparkContext.broadcast(model)  # languages of the sample x BUCKETS doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
@@ -117,7 +116,11 @@ def fuse(found: DataFrame, langs: list[str], alpha: float = 4.0) -> DataFrame:
 
     suffixes = sums("suffix").withColumn("prior_suffix", smooth(F.col("n_suffix"), F.array(*[F.lit(t) for t in top]))).drop("n_suffix")
     declared = sums("declared")
-    out = found.join(suffixes, "suffix", "left").join(sums("host"), "host", "left").join(declared, "declared", "left")
+    out = found
+    for by, table in (("suffix", suffixes), ("host", sums("host")), ("declared", declared)):
+        # A null meets nothing; spread by page, nulls don't land in one task.
+        out = out.withColumn("_key", F.coalesce(by, F.concat(F.lit("\0"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
+        out = out.join(table.withColumnRenamed(by, "_key"), "_key", "left").drop("_key")
     base = F.coalesce("prior_suffix", F.array(*[F.lit(t) for t in top]))
     out = out.withColumn("base", base).withColumn("prior", smooth(F.col("n_host"), F.col("base")))
     # P(declared | language): soft counts over the language's whole mass.

@@ -8,7 +8,7 @@ more are boilerplate and are removed everywhere; blank lines are never judged.
 
 Defined cases: null text has no lines and comes back as null; a null site counts as no site;
 an empty table gives an empty table; repeated rows are treated alike; rows that share a doc_id
-each lose the boilerplate lines they hold.
+each lose the boilerplate lines they hold, rows with a null one too.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqmill.llm.common import SPACES, settle
+from seqmill.llm.common import SPACES, named, settle
 
 MIN_SITES = 10
 LG_K = 12
@@ -26,15 +26,16 @@ def _trimmed(line):
     return F.btrim(line, F.lit("".join(SPACES)))
 
 
-def _hash(line):
-    return F.xxhash64(_trimmed(line))
+def _hashes(line):
+    """128 bits of a trimmed line."""
+    return F.struct(F.xxhash64(line).alias("h"), F.xxhash64(F.lit("second"), line).alias("h2"))
 
 
 def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
     """One row per line with a word: doc_id, site, h, h2."""
     rows = docs.select("doc_id", F.col(site).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
     rows = rows.select("doc_id", "site", _trimmed(F.col("line")).alias("line")).where("line != ''")
-    return rows.select("doc_id", "site", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("h2"))
+    return rows.select("doc_id", "site", _hashes(F.col("line")).alias("x")).select("doc_id", "site", "x.h", "x.h2")
 
 
 def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -50,23 +51,33 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> Da
     return sure.unionByName(exact.select("h", "h2", "sites", F.lit(True).alias("exact")))
 
 
-def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``text`` without its boilerplate lines, and a column ``n_removed_lines``.
+def _without(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
+    """(_doc, _text, _removed): each row whole, its text without boilerplate lines, and their number.
 
     Only (doc_id, line hash) of the lines that go is gathered; each text moves once.
     """
     lines = site_lines(docs, site)
     gone = lines.select("doc_id", "h", "h2").join(spread(lines, min_sites).select("h", "h2"), ["h", "h2"])
-    gone = gone.groupBy("doc_id").agg(F.collect_set("h").alias("_gone"))
-    names = docs.columns
-    whole = docs.select(F.struct(*names).alias("_doc"), F.col("doc_id").alias("_id"))
-    out = whole.join(gone.select(F.col("doc_id").alias("_id"), "_gone"), "_id", "left")
-    old = F.split(F.col("_doc.text"), "\n")
-    stays = lambda x: (_trimmed(x) == "") | ~F.array_contains("_gone", _hash(x))
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("h", "h2")).alias("_gone"))
+    whole = docs.select(F.struct(*map(named, docs.columns)).alias("_doc"))
+    gone = gone.withColumnRenamed("doc_id", "_id")
+    out = whole.join(gone, whole["_doc"].getField("doc_id").eqNullSafe(gone["_id"]), "left")
+    text = F.col("_doc").getField("text")
+    old = F.split(text, "\n")
+    stays = lambda x: (_trimmed(x) == "") | ~F.array_contains("_gone", _hashes(_trimmed(x)))
     out = out.withColumn("_new", F.when(F.col("_gone").isNull(), old).otherwise(F.filter(old, stays)))
     removed = F.coalesce(F.size(old) - F.size("_new"), F.lit(0)).cast("long")
-    text = F.when(F.col("_gone").isNull(), F.col("_doc.text")).otherwise(F.array_join("_new", "\n"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"_doc.{c}").alias(c) for c in names], removed.alias("n_removed_lines"))
+    return out.select("_doc", F.when(F.col("_gone").isNull(), text).otherwise(F.array_join("_new", "\n")).alias("_text"), removed.alias("_removed"))
+
+
+def _columns(docs: DataFrame) -> list:
+    return [(F.col("_text") if c == "text" else F.col("_doc").getField(c)).alias(c) for c in docs.columns]
+
+
+def dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with ``text`` without its boilerplate lines, and ``n_removed_lines`` (in place of a column of that name)."""
+    kept = [x for c, x in zip(docs.columns, _columns(docs), strict=True) if c != "n_removed_lines"]
+    return _without(docs, site, min_sites).select(*kept, F.col("_removed").alias("n_removed_lines"))
 
 
 def digest(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -78,5 +89,5 @@ def digest(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """Pipeline form: the columns of ``docs``; ``n_chars`` (where there) follows the text."""
-    out = dedup(docs).drop("n_removed_lines")
+    out = _without(docs, "source", MIN_SITES).select(*_columns(docs))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -199,5 +199,5 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """Pipeline form: one document of each group of five-word shingles (the smallest doc_id), whole."""
-    gone = groups(docs, WIDTH).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = groups(docs, WIDTH).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -36,7 +36,8 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the tokenizer file defines them.
 
     The file's vocabulary gives the merge ranks of a faster encoder with the same ids; a text
-    that holds one of the file's special tokens is left to the file's own tokenizer.
+    that holds one of the file's special tokens, or a run of white space too long for the faster
+    encoder's patterns, is left to the file's own tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,9 +56,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return array("I", self.fast.encode_ordinary(text)).tobytes()
+        if not any(x in text for x in self.special):
+            try:
+                return array("I", self.fast.encode_ordinary(text)).tobytes()
+            except BaseException as e:  # the panic of its regex engine is no Exception
+                if type(e).__name__ != "PanicException":
+                    raise
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmill.llm.common import SPACES, strip_chars, words_of
+from seqmill.llm.common import SPACES, named, strip_chars, words_of
 
 #: Characters that the contract counts as symbols (fixed values).
 SYMBOLS = ("#", "*", "$", "%", "&", "|", "<", ">")
@@ -118,8 +118,7 @@ def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The documents that the policy accepts, with their own columns and nothing else."""
-    names = docs.columns
-    whole = docs.select(F.struct(*names).alias("_doc"), F.col("text").alias("_t"))
+    whole = docs.select(F.struct(*map(named, docs.columns)).alias("_doc"), F.col("text").alias("_t"))
     # A filter on the verdict would be pushed below the ledger with all its expressions copied
     # into it; one on an exploded value stays where it is.
     kept = ledger(whole, "_t", "_doc").select(F.explode_outer(F.array(F.when(passes(policy), F.col("_doc")))).alias("_doc"))

@@ -45,6 +45,8 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def stretches(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(a, c, doc_id, at): anchor, hash of the stretch, and first window * 256 + further windows."""
+    if not 0 < k <= length < k + 256:
+        raise ValueError("a window has at most 255 words more than its anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

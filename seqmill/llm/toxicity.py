@@ -10,7 +10,9 @@ Only the lexicon (at most ``max_terms`` entries, and as many exceptions) reaches
 
 Defined cases: null, empty or wordless text scores as no match; without labels of both kinds
 the lexicon is empty and every score is 0; rows are scored one by one, so repeated rows score
-alike; an empty table gives an empty table; other columns are ignored.
+alike; labels other than 0 and 1 are no labels; an empty table gives an empty table; other
+columns are ignored. Words are runs of letters and digits: scripts without spaces have no terms
+inside a run.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 from seqmill.llm.common import settle
 
 THRESHOLD = 0.3
+#: Terms are word beginnings of these lengths; shorter words are terms as a whole, marked by WHOLE.
 STEM = (4, 8)
+WHOLE = "|"
 # Fixed folding values: Cyrillic and Greek look-alikes, then digits and signs used as letters.
 _LOOKS = dict(zip("авсеіјкмнорԛѕтухԝһԁɡαεικνορτυχ", "abceijkmhopqstyxwhdgaeikvoptux", strict=True))
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
@@ -63,7 +67,8 @@ class Lexicon:
         if self.weights and self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for term, w in self.weights.items():
-                self.automaton.add_word(term, (len(term), w))
+                bare = term.removesuffix(WHOLE)
+                self.automaton.add_word(bare, (len(bare), w, bare != term))
             self.automaton.make_automaton()
         return self
 
@@ -71,12 +76,17 @@ class Lexicon:
         return self.__dict__ | {"automaton": None}
 
     def phrases(self, folded: str) -> Iterator[tuple[str, float]]:
-        """(word before + matched word, weight) of every word that begins with a term."""
-        for end, (size, weight) in self.automaton.iter(folded) if self.automaton else ():
+        """(word before + matched word, weight) of every word that begins with a term or is one."""
+        for end, (size, weight, whole) in self.automaton.iter(folded) if self.automaton else ():
             start = end - size + 1
-            if start == 0 or not folded[start - 1].isalnum():
-                before = _WORD.findall(folded[max(0, start - 60) : start])[-1:]
-                yield " ".join([*before, _WORD.match(folded, start)[0]]), weight
+            if (start == 0 or not folded[start - 1].isalnum()) and not (whole and folded[end + 1 : end + 2].isalnum()):
+                z = start
+                while z and not folded[z - 1].isalnum():
+                    z -= 1
+                a = z
+                while a and folded[a - 1].isalnum():
+                    a -= 1
+                yield " ".join([*([folded[a:z]] if a < z else []), _WORD.match(folded, start)[0]]), weight
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
@@ -90,6 +100,12 @@ class Lexicon:
         return float(1 / (1 + np.exp(-np.clip(self.fit[0] + self.fit[1] * a + self.fit[2] * b, -40, 40))))
 
 
+def _terms(text: str | None) -> set[str]:
+    """All terms that a text could hold."""
+    words = set(_WORD.findall(fold(text)))
+    return {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)} | {w + WHOLE for w in words if len(w) < STEM[0]}
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
@@ -133,7 +149,7 @@ def _cover(rows: list[set[str]], weights: dict[str, float], most: int, times: in
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms: int = 500, min_log_odds: float = 3.0, min_share: float = 0.004, min_gain: float = 15.0) -> Lexicon:
     """Lexicon, exceptions and fit from at most ``max_rows`` labelled rows that aren't held out."""
-    chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     rows = settle(rows)
@@ -142,8 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms:
         for batch in batches:
             out: dict[str, list[int]] = {"": [0, 0]}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                seen = {w[:n] for w in set(_WORD.findall(fold(text))) for n in range(STEM[0], min(STEM[1], len(w)) + 1)} | {""}
-                for t in seen:
+                for t in _terms(text) | {""}:
                     out.setdefault(t, [0, 0])[toxic] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(out)), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.int64())], names=["term", "clean", "toxic"])
 
@@ -161,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [sorted({w[:n] for w in set(_WORD.findall(fold(t))) for n in range(STEM[0], STEM[1] + 1) if w[:n] in candidates}) for t in batch.column("text").to_pylist()]
+            held = [sorted(_terms(t) & candidates.keys()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["terms"])
 
     toxic = [set(r.terms) for r in rows.where("toxic = 1").select("text").mapInArrow(present, "terms array<string>").collect()]  # at most max_rows short lists
@@ -183,7 +198,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_terms:
             f = [lex.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), batch.column("toxic")], names=["a", "b", "toxic"])
 
-    got = rows.mapInArrow(featured, "a double, b double, toxic int").orderBy("a", "b", "toxic").collect()  # at most max_rows small rows
+    got = sorted(rows.mapInArrow(featured, "a double, b double, toxic int").collect())  # at most max_rows small rows
     x = np.array([[r.a, r.b] for r in got])
     return Lexicon(kept, lexicon.exceptions, _logistic(x, np.array([r.toxic for r in got], float)))
 

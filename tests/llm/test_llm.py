@@ -111,7 +111,16 @@ def test_decontamination_equals_brute_force(spark, block):
         n = min(13, len(w))
         for j in range(len(w) - n + 1 if n and i is not None else 0):
             windows.setdefault(tuple(w[j : j + n]), set()).add(str(i))
-    got = {r.doc_id: r for r in decontaminate.find(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()}
+    again = [(0, "one", "en", "s", 3, 7, "x", "y")] * 2 + [(0, texts[6], "en", "s", 3, 7, "x", "y"), (None, texts[6], "en", "s", 3, 7, "x", "y")]
+    docs, bench = docs_of(spark, texts, again), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.find(docs, bench, block_bytes=block).collect()
+    assert len(rows) == len(texts) + 4  # one for each row of the input
+    assert sorted((r.n_words, r.n_hit) for r in rows if r.doc_id in (0, None))[:3] == [(0, 0), (1, 1), (1, 1)]
+    clean = decontaminate.clean(docs, bench, block_bytes=block)
+    assert clean.columns == docs.columns and clean.count() == sum(not (r.n_hit and 20 * r.n_hit >= r.n_words) for r in rows)
+    got = {r.doc_id: r for r in rows if r.doc_id}
+    texts[0] = None
+    got[0] = next(r for r in rows if r.doc_id == 0 and r.n_words == 0)
     for d, t in enumerate(texts):
         w, hit, found = cut(t), set(), set()
         for n in {len(k) for k in windows}:
@@ -140,6 +149,21 @@ def test_packing_round_trip(spark):
         assert [o for o, _ in inside] == np.cumsum([0, *[n for _, n in inside]])[:-1].tolist() and sum(n for _, n in inside) <= 2048
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Dots, names that operators use themselves, and rows without an id."""
+    texts = ["\n".join(["same old line", *(f"w{i}x{j}" for j in range(60))]) for i in range(14)]
+    docs = docs_of(spark, texts, [(None, "same old line\n" + " ".join(f"q{j}" for j in range(60)), "en", "s1", 3, 7, "x", "y")])
+    docs = docs.withColumn("a.b", docs["n_words"]).withColumn("n_removed_lines", docs["gone"]).withColumn("doc", docs["gone"]).withColumn("gone_id", docs["gone"])
+    bench = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    for stage in (quality.keep, lines.clean, near.clean, lambda d: decontaminate.clean(d, bench), lambda d: decontaminate.clean(d, bench, block_bytes=1)):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert len(rows) == 15 and all(r["a.b"] == 7 and r["n_removed_lines"] == "x" for r in rows)
+    assert not any("same old line" in r.text for r in lines.clean(docs).collect())
+    assert {r.n_removed_lines for r in lines.dedup(docs).collect()} == {1}
+
+
 def test_differencing_keeps_every_item_and_balances():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 513) for _ in range(400)]
@@ -181,6 +205,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.predicted == int(r.doc_id % 5 == 0) for r in held)
 
 
+def test_toxicity_matches_equal_a_plain_search():
+    """Counts of the automaton against a regular expression, with exceptions, short words and far words before."""
+    rng = random.Random(8)
+    lexicon = toxicity.Lexicon({"zork": 2.0, "blim": 1.0, "ab" + toxicity.WHOLE: 0.5}, frozenset(["nice zorkish", "x" * 90 + " blimp"]), (0.0, 1.0, 1.0)).build()
+    words = ["zork", "zorkish", "nice", "blimp", "ab", "abc", "xab", "x" * 90, "azork", "..", "  "]
+    for _ in range(200):
+        text = rng.choice([" ", ", ", "\n" * 70]).join(rng.choices(words, k=12))
+        found = re.findall(r"[a-z]+", text)
+        want = 0.0
+        for i, w in enumerate(found):
+            phrase = " ".join(found[max(0, i - 1) : i + 1])
+            if phrase not in lexicon.exceptions:
+                want += 2.0 * w.startswith("zork") + 1.0 * w.startswith("blim") + 0.5 * (w == "ab")
+        assert lexicon.features(text)[0] == pytest.approx(np.log1p(want))
+
+
+def test_toxicity_ignores_odd_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, (None, -1, 2, 7)[i % 4]) for i in range(9)], "doc_id long, quality int, toxic int")
+    assert toxicity.digest(docs, labels).where("score = 0").count() == 9
+
+
+def test_language_fusion_equals_a_plain_sum(spark):
+    """Posteriors of the fusion against the same formula in loops, with nulls in every key."""
+    rng = random.Random(4)
+    langs, alpha = ["aa", "bb", "cc"], 4.0
+    rows = [(i, rng.choice([None, "h1.x", "h2.x", "h.y"]), None, rng.choice([None, "aa", "bb", "zz"]), [-rng.random() * 5 for _ in langs]) for i in range(60)]
+    rows = [(i, h, h and h[-1], d, ll) for i, h, _, d, ll in rows]
+    got = {r.page_id: r for r in langid.fuse(spark.createDataFrame(rows, "page_id long, host string, suffix string, declared string, ll array<double>"), langs, alpha).collect()}
+    post = {r[0]: np.exp(r[4]) / np.exp(r[4]).sum() for r in rows}
+    mass = sum(post.values()) + 1.0
+    of = lambda at, key: sum((post[r[0]] for r in rows if r[at] == key), np.zeros(3))
+    smooth = lambda counts, prior: (counts + alpha * prior) / (counts.sum() + alpha)
+    for i, host, suffix, declared, ll in rows:
+        prior = mass / mass.sum()
+        prior = smooth(of(2, suffix), prior) if suffix else prior
+        prior = smooth(of(1, host), prior) if host else prior
+        score = np.array(ll) + np.log(prior) + (np.log((of(3, declared) + 0.5) / (mass + 1.0)) if declared else 0.0)
+        p = np.exp(score - score.max())
+        assert (got[i].lang, got[i].confidence) == (langs[int(score.argmax())], pytest.approx((p / p.sum()).max(), abs=1e-4))
+
+
 def test_language_of_pages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.identify(spark.read.parquet(f"{SF}/pages.parquet"), docs)
@@ -216,12 +282,42 @@ def test_html_layout():
         ("a<select><optgroup><option>b<option>c</select>d", "a\nb\nc\nd"),
         ("a<dialog>no</dialog><dialog open>b</dialog><datalist><option>no</datalist>", "a\nb"),
         ("<object data=x.swf>a</object><video>no</video>", "a"),
+        ("<table><tr><td colspan=2>wide<td>z<tr><td>a<td>b<td>c</table>", "wide  | z\na | b | c"),
+        ("<table><tr><td rowspan=2>r<td>x<tr><td>y<tr><td>p<td>q</table>", "r | x\n    y\np | q"),
+        ("<ol start=2><li>a<li value=7>b<li>c</ol>", "2. a\n7. b\n8. c"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>x", "yes\nx"),
+        ('<a href="x>b</a> c <p>d', "b c\n\nd"),
+        ("x <b", "x"),
+        ("<div hidden>" * 900 + "no" + "</div>" * 900 + "yes", "yes"),
     ],
 )
 def test_html_shows_all_visible_text(source, want):
     assert html.visible_text(source) == want
 
 
+@pytest.mark.parametrize("source", ["<a " * 9, '<a " ' * 9, '<a ">" ' * 9 + "'", "<b>" * 9 + "</i>" * 9, "<ul><li>" * 9, "<table><tr><td rowspan=9>x<td>y" * 9, "<table>" + "<tr><td rowspan=60000>x<td>y" * 9])
+def test_broken_html_takes_time_in_proportion(source):
+    """Python's steps, not seconds: ten times the page takes at most thirty times the steps."""
+    import sys
+
+    def steps(text):
+        n = 0
+
+        def count(*_):
+            nonlocal n
+            n += 1
+            return count
+
+        sys.settrace(count)
+        try:
+            html.visible_text(text)
+        finally:
+            sys.settrace(None)
+        return n
+
+    assert steps(source * 300) <= 30 * steps(source * 30) + 100_000
+
+
 def test_ablations_are_bitwise(spark):
     book = quality.ledger(docs_of(spark, odd_texts()), "text", "doc_id")
     got = {r.rule: r for r in quality.ablations(book).collect()}
