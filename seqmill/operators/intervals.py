@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,7 @@ def merge_intervals(rows: DataFrame, key: str, start: str = "start", end: str =
 
 def complement_intervals(merged: DataFrame, key: str, low: int, high: int) -> DataFrame:
     """What disjoint intervals leave of [low, high], per key."""
+    merged = merged.where((F.col("end") >= low) & (F.col("start") <= high))
     w = Window.partitionBy(key).orderBy("start")
     head = merged.groupBy(key).agg(F.min("start").alias("s")).select(key, F.lit(low).cast("long").alias("start"), (F.col("s") - 1).alias("end"))
     tail = merged.select(key, (F.col("end") + 1).alias("start"), F.coalesce(F.lead("start").over(w) - 1, F.lit(high).cast("long")).alias("end"))
@@ -58,16 +59,32 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end")), "left_semi")
 
 
-def greedy_match(left: DataFrame, right: DataFrame, key: str, frame: str, tolerance: int) -> DataFrame:
+#: Folds gather a sequence; one of more events than this is no sequence, and raises.
+MOST_EVENTS = 100_000
+
+
+def bounded(array: Column, most: int = MOST_EVENTS) -> Column:
+    """The array of one sequence, or an error where the key is no bounded session."""
+    return F.when(F.size(array) <= most, array).otherwise(F.raise_error(F.lit(f"a sequence of more than {most} events: choose a finer key")))
+
+
+def greedy_match(left: DataFrame, right: DataFrame, key: str | list[str], frame: str, tolerance: int) -> DataFrame:
     """Left events in order each take the closest unclaimed right one within the tolerance.
 
-    A fold over one key's events (a bounded group: one session); ties go to the earlier one.
+    A fold over one key's events (a bounded session, such as a rally; see ``MOST_EVENTS``). Ties go
+    to the earlier right event; events that share a frame are claimed one by one.
     """
-    gather = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(frame)).alias(name))
-    both = gather(left, "_a").join(gather(right, "_b"), key)
-    step = f"""aggregate(_a, named_struct('free', _b, 'got', cast(array() as array<struct<x:bigint,y:bigint>>)), (s, x) ->
-        CASE WHEN exists(s.free, y -> abs(y - x) <= {tolerance})
-        THEN named_struct('free', array_except(s.free, slice(array_sort(filter(s.free, y -> abs(y - x) <= {tolerance}), (p, q) -> CASE WHEN abs(p - x) != abs(q - x) THEN sign(abs(p - x) - abs(q - x)) ELSE sign(p - q) END), 1, 1)),
-             'got', concat(s.got, array(named_struct('x', x, 'y', element_at(array_sort(filter(s.free, y -> abs(y - x) <= {tolerance}), (p, q) -> CASE WHEN abs(p - x) != abs(q - x) THEN sign(abs(p - x) - abs(q - x)) ELSE sign(p - q) END), 1)))))
-        ELSE s END, s -> s.got)"""
-    return both.select(key, F.explode(F.expr(step.replace("sign(abs(p - x) - abs(q - x))", "cast(sign(abs(p - x) - abs(q - x)) as int)").replace("sign(p - q)", "cast(sign(p - q) as int)"))).alias("_m")).select(key, F.col("_m.x").alias("predicted"), F.col("_m.y").alias("truth"), F.abs(F.col("_m.x") - F.col("_m.y")).alias("error"))
+    keys = [key] if isinstance(key, str) else key
+    gather = lambda df, name: df.groupBy(*keys).agg(bounded(F.array_sort(F.collect_list(F.col(frame).cast("long")))).alias(name))
+    both = gather(left, "_a").join(gather(right, "_b"), keys)
+    both = both.withColumn("_b", F.transform("_b", lambda y, i: F.struct(y.alias("y"), i.alias("i"))))
+
+    def step(s: Column, x: Column) -> Column:
+        near = F.filter(s["free"], lambda b: F.abs(b["y"] - x) <= tolerance)
+        best = F.array_min(F.transform(near, lambda b: F.struct(F.abs(b["y"] - x).alias("e"), b["y"].alias("y"), b["i"].alias("i"))))
+        free = F.filter(s["free"], lambda b: best.isNull() | (b["i"] != best["i"]))
+        return F.struct(free.alias("free"), F.when(best.isNull(), s["got"]).otherwise(F.concat(s["got"], F.array(F.struct(x.alias("x"), best["y"].alias("y"))))).alias("got"))
+
+    start = F.struct(F.col("_b").alias("free"), F.array().cast("array<struct<x:bigint,y:bigint>>").alias("got"))
+    got = both.select(*keys, F.explode(F.aggregate("_a", start, step, lambda s: s["got"])).alias("_m"))
+    return got.select(*keys, F.col("_m.x").alias("predicted"), F.col("_m.y").alias("truth"), F.abs(F.col("_m.x") - F.col("_m.y")).alias("error"))

@@ -59,7 +59,8 @@ def openings(events: DataFrame, key: str, order: str, token: str, won: str, n: i
     per = events.groupBy(key).agg(first.alias("opening"), F.count("*").alias("size"), F.max_by(won, F.when(F.col(won).isNotNull(), F.col(order))).alias("won"))
     per = per.where(F.col("size") >= n)
     out = per.groupBy("opening").agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("won").cast("int"), F.lit(0))).alias("win_rate"))
-    return out.withColumn("support", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = out.agg(F.sum("n").alias("_all"))  # one row
+    return out.crossJoin(F.broadcast(total)).withColumn("support", F.col("n") / F.col("_all")).drop("_all")
 
 
 def displacements(events: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqmill.operators.intervals import bounded
+
 
 def peaks(points: DataFrame, key: str, order: str, value: str, radius: int, prominence: float) -> DataFrame:
     """Local maxima (plateaus pass) whose prominence within ``radius`` points is large enough."""
@@ -36,22 +38,24 @@ def interpolate(points: DataFrame, key: str, frame: str, value: str, most: int)
     return points.withColumn("filled", F.coalesce(F.col(value), filled))
 
 
-def jump_gate(points: DataFrame, key: str, frame: str, x: str, y: str, speed: float) -> DataFrame:
+def jump_gate(points: DataFrame, key: str | list[str], frame: str, x: str, y: str, speed: float) -> DataFrame:
     """Drop points that move faster than ``speed`` per frame from the last one kept.
 
     What is kept depends on what was kept before, so one key's points (a bounded group) are folded.
     """
-    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key)
-    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"))))
+    keys = [key] if isinstance(key, str) else key
+    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys)
+    sorted_ = bounded(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y")))))
     far = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) > speed * (p["f"] - q["f"])
     kept = F.aggregate("_pts", F.slice("_pts", 1, 0), lambda acc, p: F.when((F.size(acc) > 0) & far(p, F.try_element_at(acc, F.lit(-1))), acc).otherwise(F.concat(acc, F.array(p))))
-    return rows.agg(sorted_.alias("_pts")).select(key, F.explode(kept).alias("_p")).select(key, F.col("_p.f").alias(frame), F.col("_p.x").alias(x), F.col("_p.y").alias(y))
+    return rows.agg(sorted_.alias("_pts")).select(*keys, F.explode(kept).alias("_p")).select(*keys, F.col("_p.f").alias(frame), F.col("_p.x").alias(x), F.col("_p.y").alias(y))
 
 
-def suppress(candidates: DataFrame, key: str, frame: str, score: str, distance: int) -> DataFrame:
+def suppress(candidates: DataFrame, key: str | list[str], frame: str, score: str, distance: int) -> DataFrame:
     """Greedy suppression: highest score first, kept if ``distance`` frames from all kept ones."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(frame).alias("f"))))
+    keys = [key] if isinstance(key, str) else key
+    ranked = bounded(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(frame).alias("f")))))
     clear = lambda acc, c: F.forall(acc, lambda k: F.abs(k["f"] - c["f"]) >= distance)
     kept = F.aggregate("_c", F.slice("_c", 1, 0), lambda acc, c: F.when(clear(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
-    rows = candidates.groupBy(key).agg(ranked.alias("_c")).select(key, F.explode(kept).alias("_k"))
-    return rows.select(key, F.col("_k.f").alias(frame), (-F.col("_k.s")).alias(score))
+    rows = candidates.groupBy(*keys).agg(ranked.alias("_c")).select(*keys, F.explode(kept).alias("_k"))
+    return rows.select(*keys, F.col("_k.f").alias(frame), (-F.col("_k.s")).alias(score))

@@ -8,28 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqmill import functions as fn
 from seqmill import streaming
 from seqmill.operators import intervals, measures, sequences, trajectory
+from seqmill.plans import tables
+from seqmill.plans.base import JUDGED, LOG, SPANS, STATES, judged, log, spans
 
-STATES = ["click", "purchase", "signup", "view"]
 FLAGSHIP = "transition_matrix"
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a log: rally, event_id, rank, token, value, confidence, frame."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return e.select(F.col("user_id").alias("rally"), "event_id", rank.alias("rank"), F.col("event_type").alias("token"), "value", ((F.col("event_id") * 37 % 100) / F.lit(100.0)).alias("confidence"), "ts")
-
-
-_LOG = """s AS (SELECT user_id AS rally, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS rank, event_type AS token, value,
-    (event_id * 37 % 100) / CAST(100 AS DOUBLE) AS confidence, ts FROM events)"""
-
-
 def transition_matrix(spark, sf_dir):
     return sequences.transitions(log(spark, sf_dir), "rally", "rank", "token", STATES)
 
@@ -83,15 +73,8 @@ def active_intervals(spark, sf_dir):
     return intervals.state_intervals(smoothed_states(spark, sf_dir), "rally", "rank", "state", 3)
 
 
-def _spans(spark, sf_dir):
-    return log(spark, sf_dir).where("confidence >= 0.6").select("rally", (F.col("rank") * 3).alias("start"), (F.col("rank") * 3 + (F.col("event_id") % 9)).alias("end"))
-
-
-_SPANS = "i AS (SELECT rally, rank * 3 AS start, rank * 3 + event_id % 9 AS \"end\" FROM s WHERE confidence >= 0.6)"
-
-
 def merged_intervals(spark, sf_dir):
-    return intervals.merge_intervals(_spans(spark, sf_dir), "rally")
+    return intervals.merge_intervals(spans(spark, sf_dir), "rally")
 
 
 def free_intervals(spark, sf_dir):
@@ -100,19 +83,19 @@ def free_intervals(spark, sf_dir):
 
 def points_in_spans(spark, sf_dir):
     points = log(spark, sf_dir).select("rally", "event_id", (F.col("rank") * 2 + 1).alias("frame"))
-    return intervals.points_in_intervals(points, _spans(spark, sf_dir), "rally", "frame").groupBy("rally", "event_id").agg(F.count("*").alias("n"))
+    return intervals.points_in_intervals(points, spans(spark, sf_dir), "rally", "frame").groupBy("rally", "event_id").agg(F.count("*").alias("n"))
 
 
 def overlapping_spans(spark, sf_dir):
-    s = _spans(spark, sf_dir)
+    s = spans(spark, sf_dir)
     return intervals.overlapping(s.where("start % 2 = 0"), s.where("start % 2 = 1"), "rally")
 
 
 def event_matching(spark, sf_dir):
-    e = log(spark, sf_dir)
-    predicted = e.where("event_id % 2 = 0").select("rally", (F.col("rank") * 5).alias("frame"))
-    truth = e.where("event_id % 2 = 1").select("rally", (F.col("rank") * 5 + 1).alias("frame"))
-    return intervals.greedy_match(predicted, truth, "rally", "frame", 12)
+    """Clicks and views as predictions of all else, in bouts; several events share a frame."""
+    e = tables.bouts(spark, sf_dir).select("rally", "bout", "token", (F.floor(F.col("rank") / 2) * 5).cast("long").alias("frame"))
+    predicted, truth = (e.where(F.col("token").isin("click", "view") == side).select("rally", "bout", "frame") for side in (True, False))
+    return intervals.greedy_match(predicted, truth, ["rally", "bout"], "frame", 12)
 
 
 def value_peaks(spark, sf_dir):
@@ -129,11 +112,11 @@ def gap_filling(spark, sf_dir):
 
 
 def jump_filter(spark, sf_dir):
-    return trajectory.jump_gate(log(spark, sf_dir), "rally", "rank", "value", "confidence", 60.0)
+    return trajectory.jump_gate(tables.bouts(spark, sf_dir), ["rally", "bout"], "rank", "value", "confidence", 60.0)
 
 
 def peak_suppression(spark, sf_dir):
-    return trajectory.suppress(log(spark, sf_dir).select("rally", "rank", "value"), "rally", "rank", "value", 4)
+    return trajectory.suppress(tables.bouts(spark, sf_dir).select("rally", "bout", "rank", "value"), ["rally", "bout"], "rank", "value", 4)
 
 
 def composition_gap(spark, sf_dir):
@@ -147,22 +130,13 @@ def transition_distance(spark, sf_dir):
     return measures.transition_gap(a, b).select(F.round("frobenius", 9).alias("frobenius"), F.round("row_kl", 9).alias("row_kl"))
 
 
-def _judged(spark, sf_dir):
-    names = F.array(*[F.lit(x) for x in ["click", "error", "purchase", "signup", "view"]])
-    guess = F.when(F.col("confidence") < 0.7, F.col("token")).otherwise(F.get(names, (F.col("event_id") % 5).cast("int")))
-    return log(spark, sf_dir).withColumn("guess", guess)
-
-
-_JUDGED = "j AS (SELECT *, CASE WHEN confidence < 0.7 THEN token ELSE ['click', 'error', 'purchase', 'signup', 'view'][event_id % 5 + 1] END AS guess FROM s)"
-
-
 def class_report(spark, sf_dir):
-    return measures.class_metrics(_judged(spark, sf_dir), "token", "guess")
+    return measures.class_metrics(judged(spark, sf_dir), "token", "guess")
 
 
 def overlapping_group_accuracy(spark, sf_dir):
     groups = {"all": F.lit(True), "sure": F.col("confidence") >= 0.8, "unsure": F.col("confidence") < 0.25, "even": F.col("rally") % 2 == 0, "late": F.col("rank") > 20}
-    return measures.group_accuracy(_judged(spark, sf_dir), groups, F.col("token") == F.col("guess"))
+    return measures.group_accuracy(judged(spark, sf_dir), groups, F.col("token") == F.col("guess"))
 
 
 def label_weights(spark, sf_dir):
@@ -187,11 +161,11 @@ def false_discovery(spark, sf_dir):
 
 
 def rand_agreement(spark, sf_dir):
-    return measures.adjusted_rand(_judged(spark, sf_dir), "token", "guess").select(F.round("ari", 9).alias("ari"))
+    return measures.adjusted_rand(judged(spark, sf_dir), "token", "guess").select(F.round("ari", 9).alias("ari"))
 
 
 def top_classes(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("l"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("l"))
     return measures.softmax_top(e, "l").select("vec_id", F.round(F.array_max("probs"), 6).alias("best"), F.array_join("top", ",").alias("top"))
 
 
@@ -209,7 +183,7 @@ def centroid_distances(spark, sf_dir):
 
 
 def binned_accuracy(spark, sf_dir):
-    rows = _judged(spark, sf_dir).withColumn("bin", fn.binned(F.col("confidence"), [0.0, 0.4, 0.6, 0.8, 1.01]))
+    rows = judged(spark, sf_dir).withColumn("bin", fn.binned(F.col("confidence"), [0.0, 0.4, 0.6, 0.8, 1.01]))
     return rows.where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"), F.avg((F.col("token") == F.col("guess")).cast("int")).alias("accuracy"))
 
 
@@ -221,7 +195,8 @@ def order_star_join(spark, sf_dir):
 
 def customers_without_orders(spark, sf_dir):
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    late = t("orders").where("o_orderdate >= timestamp_ntz'2000-01-01'")
+    return t("customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def hourly_counts(spark, sf_dir):
@@ -240,7 +215,7 @@ _ALL = (
     peak_suppression, composition_gap, transition_distance, class_report, overlapping_group_accuracy, label_weights, quality_profile, duplicate_keys, occupancy, false_discovery,
     rand_agreement, top_classes, standard_scores, centroid_distances, binned_accuracy, order_star_join, customers_without_orders, hourly_counts, user_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL} | tables.QUERIES
 
 _PAIRS = "p AS (SELECT rally, token AS cur, lead(token) OVER (PARTITION BY rally ORDER BY rank) AS nxt FROM s)"
 _IN = "('click', 'purchase', 'signup', 'view')"
@@ -260,76 +235,96 @@ def _matrix(where: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "transition_matrix": f"WITH {_LOG}, {_PAIRS} SELECT cur, nxt, count(*) AS cnt, count(*) / sum(count(*)) OVER (PARTITION BY cur) AS prob FROM p WHERE cur IN {_IN} AND nxt IN {_IN} GROUP BY cur, nxt",
-    "soft_transition_matrix": f"""WITH {_LOG}, p AS (SELECT confidence AS c, lead(confidence) OVER (PARTITION BY rally ORDER BY rank) AS n FROM s),
+    "transition_matrix": f"WITH {LOG}, {_PAIRS} SELECT cur, nxt, count(*) AS cnt, count(*) / sum(count(*)) OVER (PARTITION BY cur) AS prob FROM p WHERE cur IN {_IN} AND nxt IN {_IN} GROUP BY cur, nxt",
+    "soft_transition_matrix": f"""WITH {LOG}, p AS (SELECT confidence AS c, lead(confidence) OVER (PARTITION BY rally ORDER BY rank) AS n FROM s),
         x AS (SELECT 0 AS i, 0 AS j, c * n AS v FROM p UNION ALL SELECT 0, 1, c * (1 - n) FROM p UNION ALL SELECT 1, 0, (1 - c) * n FROM p UNION ALL SELECT 1, 1, (1 - c) * (1 - n) FROM p)
         SELECT i, j, round(sum(v), 6) AS mass, round(sum(v) / sum(sum(v)) OVER (PARTITION BY i), 9) AS prob FROM x GROUP BY i, j""",
-    "high_confidence_segments": f"""WITH {_LOG}, g AS (SELECT rally, rank, rank - row_number() OVER (PARTITION BY rally ORDER BY rank) AS g FROM s WHERE confidence >= 0.4)
+    "high_confidence_segments": f"""WITH {LOG}, g AS (SELECT rally, rank, rank - row_number() OVER (PARTITION BY rally ORDER BY rank) AS g FROM s WHERE confidence >= 0.4)
         SELECT rally, min(rank) AS first_rank, max(rank) AS last_rank, count(*) AS n FROM g GROUP BY rally, g""",
-    "motif_support": f"""WITH {_LOG}, t AS (SELECT rally, token || ' > ' || lead(token) OVER w || ' > ' || lead(token, 2) OVER w AS pattern FROM s WINDOW w AS (PARTITION BY rally ORDER BY rank))
+    "motif_support": f"""WITH {LOG}, t AS (SELECT rally, token || ' > ' || lead(token) OVER w || ' > ' || lead(token, 2) OVER w AS pattern FROM s WINDOW w AS (PARTITION BY rally ORDER BY rank))
         SELECT pattern, count(DISTINCT rally) AS n_sequences, count(DISTINCT rally) / CAST((SELECT count(DISTINCT rally) FROM s) AS DOUBLE) AS support FROM t WHERE pattern IS NOT NULL GROUP BY pattern""",
-    "opening_patterns": f"""WITH {_LOG}, o AS (SELECT rally, string_agg(token, ' > ' ORDER BY rank) FILTER (rank <= 3) AS opening, count(*) AS size, max_by(value > 100, rank) FILTER (token = 'purchase') AS won FROM s GROUP BY rally)
+    "opening_patterns": f"""WITH {LOG}, o AS (SELECT rally, string_agg(token, ' > ' ORDER BY rank) FILTER (rank <= 3) AS opening, count(*) AS size, max_by(value > 100, rank) FILTER (token = 'purchase') AS won FROM s GROUP BY rally)
         SELECT opening, count(*) AS n, avg(CAST(coalesce(won, false) AS INTEGER)) AS win_rate, count(*) / sum(count(*)) OVER () AS support FROM o WHERE size >= 3 GROUP BY opening""",
-    "lag_displacement": f"""WITH {_LOG}, d AS (SELECT rally, rank, value - lag(value) OVER w AS dx, confidence - lag(confidence) OVER w AS dy FROM s WINDOW w AS (PARTITION BY rally ORDER BY rank))
+    "lag_displacement": f"""WITH {LOG}, d AS (SELECT rally, rank, value - lag(value) OVER w AS dx, confidence - lag(confidence) OVER w AS dy FROM s WINDOW w AS (PARTITION BY rally ORDER BY rank))
         SELECT rally, rank, round(dx, 6) AS dx, round(dy, 6) AS dy, round(sqrt(dx * dx + dy * dy), 6) AS distance FROM d""",
-    "midpoint_windows": f"""WITH {_LOG}, f AS (SELECT rally, rank * 7 + rank % 3 AS frame FROM s), g AS (SELECT *, lag(frame) OVER w AS prev_event, lead(frame) OVER w AS next_event FROM f WINDOW w AS (PARTITION BY rally ORDER BY frame))
+    "midpoint_windows": f"""WITH {LOG}, f AS (SELECT rally, rank * 7 + rank % 3 AS frame FROM s), g AS (SELECT *, lag(frame) OVER w AS prev_event, lead(frame) OVER w AS next_event FROM f WINDOW w AS (PARTITION BY rally ORDER BY frame))
         SELECT rally, frame, prev_event, next_event, greatest(coalesce(CAST(round_even((prev_event + frame) / 2, 0) AS BIGINT), 5), 5) AS window_start, least(coalesce(CAST(round_even((next_event + frame) / 2, 0) AS BIGINT), 400), 400) AS window_end FROM g""",
     "average_rank": "WITH v AS (SELECT event_type AS token, round(value) AS v, event_id FROM events) SELECT token, v, event_id, rank() OVER (PARTITION BY token ORDER BY v) + (count(*) OVER (PARTITION BY token, v) - 1) / 2 AS avg_rank FROM v",
     "top_events": "SELECT user_id AS rally, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events QUALIFY place <= 3",
-    "spaced_sample": f"WITH {_LOG}, c AS (SELECT rally, rank, count(*) OVER (PARTITION BY rally) AS n FROM s) SELECT DISTINCT rally, rank FROM c, (SELECT unnest([0, 1, 2, 3, 4]) AS j) WHERE rank - 1 = floor(j * (n - 1) / 4)",
-    "smoothed_states": f"WITH {_LOG}, {_SMOOTH} SELECT rally, rank, raw, CAST(state AS INTEGER) AS state, CAST(change AS INTEGER) AS change FROM d",
-    "active_intervals": f"""WITH {_LOG}, {_SMOOTH}, e AS (SELECT rally, rank, state, lead(rank) OVER (PARTITION BY rally ORDER BY rank) AS nxt, rank - row_number() OVER (PARTITION BY rally, state ORDER BY rank) AS g FROM d)
+    "spaced_sample": f"WITH {LOG}, c AS (SELECT rally, rank, count(*) OVER (PARTITION BY rally) AS n FROM s) SELECT DISTINCT rally, rank FROM c, (SELECT unnest([0, 1, 2, 3, 4]) AS j) WHERE rank - 1 = floor(j * (n - 1) / 4)",
+    "smoothed_states": f"WITH {LOG}, {_SMOOTH} SELECT rally, rank, raw, CAST(state AS INTEGER) AS state, CAST(change AS INTEGER) AS change FROM d",
+    "active_intervals": f"""WITH {LOG}, {_SMOOTH}, e AS (SELECT rally, rank, state, lead(rank) OVER (PARTITION BY rally ORDER BY rank) AS nxt, rank - row_number() OVER (PARTITION BY rally, state ORDER BY rank) AS g FROM d)
         SELECT rally, min(rank) AS start, max(coalesce(nxt, rank)) AS "end", count(*) AS sample_count, count(*) >= 3 AS accepted FROM e WHERE state = 1 GROUP BY rally, g""",
-    "merged_intervals": f"WITH {_LOG}, {_SPANS}, {_MERGED} SELECT * FROM m",
-    "free_intervals": f"""WITH {_LOG}, {_SPANS}, {_MERGED}, f AS (SELECT rally, 0 AS start, min(start) - 1 AS "end" FROM m GROUP BY rally
+    "merged_intervals": f"WITH {LOG}, {SPANS}, {_MERGED} SELECT * FROM m",
+    "free_intervals": f"""WITH {LOG}, {SPANS}, {_MERGED}, f AS (SELECT rally, 0 AS start, min(start) - 1 AS "end" FROM m GROUP BY rally
         UNION ALL SELECT rally, "end" + 1, coalesce(lead(start) OVER (PARTITION BY rally ORDER BY start) - 1, 300) FROM m) SELECT rally, CAST(start AS BIGINT) AS start, "end" FROM f WHERE start <= "end" """,
-    "points_in_spans": f'WITH {_LOG}, {_SPANS} SELECT s.rally, event_id, count(*) AS n FROM s JOIN i ON s.rally = i.rally AND rank * 2 + 1 BETWEEN i.start AND i."end" GROUP BY s.rally, event_id',
-    "overlapping_spans": f'WITH {_LOG}, {_SPANS} SELECT * FROM i a WHERE start % 2 = 0 AND EXISTS (SELECT 1 FROM i b WHERE b.start % 2 = 1 AND a.rally = b.rally AND a.start <= b."end" AND b.start <= a."end")',
-    "value_peaks": f"""WITH {_LOG}, w AS (SELECT rally, rank, value, value - least(coalesce(min(value) OVER (PARTITION BY rally ORDER BY rank ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), value),
+    "points_in_spans": f'WITH {LOG}, {SPANS} SELECT s.rally, event_id, count(*) AS n FROM s JOIN i ON s.rally = i.rally AND rank * 2 + 1 BETWEEN i.start AND i."end" GROUP BY s.rally, event_id',
+    "overlapping_spans": f'WITH {LOG}, {SPANS} SELECT * FROM i a WHERE start % 2 = 0 AND EXISTS (SELECT 1 FROM i b WHERE b.start % 2 = 1 AND a.rally = b.rally AND a.start <= b."end" AND b.start <= a."end")',
+    "value_peaks": f"""WITH {LOG}, w AS (SELECT rally, rank, value, value - least(coalesce(min(value) OVER (PARTITION BY rally ORDER BY rank ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), value),
         coalesce(min(value) OVER (PARTITION BY rally ORDER BY rank ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), value)) AS prominence, lag(value) OVER (PARTITION BY rally ORDER BY rank) AS p, lead(value) OVER (PARTITION BY rally ORDER BY rank) AS n FROM s)
         SELECT rally, rank, value, prominence FROM w WHERE value >= p AND value >= n AND prominence >= 50""",
-    "turning_points": f"""WITH {_LOG}, d AS (SELECT rally, rank, value - lag(value) OVER w AS x1, confidence - lag(confidence) OVER w AS y1, lead(value) OVER w - value AS x2, lead(confidence) OVER w - confidence AS y2 FROM s WINDOW w AS (PARTITION BY rally ORDER BY rank)),
+    "turning_points": f"""WITH {LOG}, d AS (SELECT rally, rank, value - lag(value) OVER w AS x1, confidence - lag(confidence) OVER w AS y1, lead(value) OVER w - value AS x2, lead(confidence) OVER w - confidence AS y2 FROM s WINDOW w AS (PARTITION BY rally ORDER BY rank)),
         z AS (SELECT *, sqrt(x1 * x1 + y1 * y1) * sqrt(x2 * x2 + y2 * y2) AS size FROM d)
         SELECT rally, rank, round(CASE WHEN size = 0 THEN 0 ELSE degrees(acos(least(1, greatest(-1, (x1 * x2 + y1 * y2) / size)))) END, 4) AS angle FROM z WHERE size IS NOT NULL""",
-    "gap_filling": f"""WITH {_LOG}, v AS (SELECT rally, rank, CASE WHEN confidence >= 0.3 THEN value END AS v FROM s),
+    "gap_filling": f"""WITH {LOG}, v AS (SELECT rally, rank, CASE WHEN confidence >= 0.3 THEN value END AS v FROM s),
         k AS (SELECT *, CASE WHEN v IS NOT NULL THEN rank END AS r FROM v),
         n AS (SELECT rally, rank, v, last_value(r IGNORE NULLS) OVER b AS a, first_value(r IGNORE NULLS) OVER f AS b, last_value(v IGNORE NULLS) OVER b AS va, first_value(v IGNORE NULLS) OVER f AS vb FROM k
             WINDOW b AS (PARTITION BY rally ORDER BY rank ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY rally ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
         SELECT rally, rank, round(coalesce(v, CASE WHEN b - a - 1 <= 3 AND b > a THEN va + (vb - va) * (rank - a) / (b - a) END), 6) AS filled FROM n""",
-    "composition_gap": f"""WITH {_LOG}, t AS (SELECT token, count(*) FILTER (confidence < 0.5) / sum(count(*) FILTER (confidence < 0.5)) OVER () AS p, count(*) FILTER (confidence >= 0.5) / sum(count(*) FILTER (confidence >= 0.5)) OVER () AS q FROM s GROUP BY token)
+    "composition_gap": f"""WITH {LOG}, t AS (SELECT token, count(*) FILTER (confidence < 0.5) / sum(count(*) FILTER (confidence < 0.5)) OVER () AS p, count(*) FILTER (confidence >= 0.5) / sum(count(*) FILTER (confidence >= 0.5)) OVER () AS q FROM s GROUP BY token)
         SELECT round(sum((p + 1e-9) * ln((p + 1e-9) / (q + 1e-9))), 9) AS kl, round(sum((q + 1e-9) * ln((q + 1e-9) / (p + 1e-9))), 9) AS kl_reverse, round(sum((p - q) * (p - q) / (p + q + 1e-9)) / 2, 9) AS chi2, round(sum(abs(p - q)) / 2, 9) AS tv FROM t""",
-    "transition_distance": f"""WITH {_LOG}, c AS (SELECT coalesce(a.cur, b.cur) AS cur, coalesce(a.prob, 0) AS p, coalesce(b.prob, 0) AS q FROM {_matrix('rally % 2 = 0')} a FULL JOIN {_matrix('rally % 2 = 1')} b ON a.cur = b.cur AND a.nxt = b.nxt),
+    "transition_distance": f"""WITH {LOG}, c AS (SELECT coalesce(a.cur, b.cur) AS cur, coalesce(a.prob, 0) AS p, coalesce(b.prob, 0) AS q FROM {_matrix('rally % 2 = 0')} a FULL JOIN {_matrix('rally % 2 = 1')} b ON a.cur = b.cur AND a.nxt = b.nxt),
         r AS (SELECT cur, sum((p - q) * (p - q)) AS sq, sum((p + 1e-9) * ln((p + 1e-9) / (q + 1e-9))) AS kl, sum(p) AS mp, sum(q) AS mq FROM c GROUP BY cur)
         SELECT round(sqrt(sum(sq)), 9) AS frobenius, round(avg(kl) FILTER (mp > 0 AND mq > 0), 9) AS row_kl FROM r""",
-    "class_report": f"""WITH {_LOG}, {_JUDGED}, l AS (SELECT DISTINCT token AS label FROM j UNION SELECT DISTINCT guess FROM j),
+    "class_report": f"""WITH {LOG}, {JUDGED}, l AS (SELECT DISTINCT token AS label FROM j UNION SELECT DISTINCT guess FROM j),
         c AS (SELECT label, (SELECT count(*) FROM j WHERE token = label) AS support, (SELECT count(*) FROM j WHERE guess = label) AS called, (SELECT count(*) FROM j WHERE token = label AND guess = label) AS hit FROM l)
         SELECT label, support, CASE WHEN called > 0 THEN hit / called ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS recall, CASE WHEN hit > 0 THEN 2 * (hit / called) * (hit / support) / (hit / called + hit / support) ELSE 0 END AS f1 FROM c""",
-    "overlapping_group_accuracy": f"""WITH {_LOG}, {_JUDGED}, g AS (SELECT 'all' AS grp, * FROM j UNION ALL SELECT 'sure', * FROM j WHERE confidence >= 0.8 UNION ALL SELECT 'unsure', * FROM j WHERE confidence < 0.25
+    "overlapping_group_accuracy": f"""WITH {LOG}, {JUDGED}, g AS (SELECT 'all' AS grp, * FROM j UNION ALL SELECT 'sure', * FROM j WHERE confidence >= 0.8 UNION ALL SELECT 'unsure', * FROM j WHERE confidence < 0.25
         UNION ALL SELECT 'even', * FROM j WHERE rally % 2 = 0 UNION ALL SELECT 'late', * FROM j WHERE rank > 20) SELECT grp, count(*) AS n, avg(CAST(token = guess AS INTEGER)) AS accuracy FROM g GROUP BY grp""",
     "label_weights": "WITH c AS (SELECT event_type AS token, count(*) AS n FROM events GROUP BY event_type), r AS (SELECT *, sum(n) OVER () / n AS raw FROM c) SELECT token, n, raw / avg(raw) OVER () AS weight FROM r",
     "quality_profile": " UNION ALL ".join(
         f"SELECT '{c}' AS name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS n_blank, count(DISTINCT {c}) AS n_distinct FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     ),
     "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
-    "occupancy": f"""WITH {_LOG} SELECT CAST(least(floor(value / 250 * 10), 9) AS INTEGER) AS bx, CAST(least(floor(confidence / CAST(0.9 AS DOUBLE) * 10), 9) AS INTEGER) AS "by", count(*) AS n FROM s
+    "occupancy": f"""WITH {LOG} SELECT CAST(least(floor(value / 250 * 10), 9) AS INTEGER) AS bx, CAST(least(floor(confidence / CAST(0.9 AS DOUBLE) * 10), 9) AS INTEGER) AS "by", count(*) AS n FROM s
         WHERE value BETWEEN 0 AND 250 AND confidence BETWEEN 0 AND CAST(0.9 AS DOUBLE) GROUP BY 1, 2""",
-    "false_discovery": f"""WITH {_LOG}, p AS (SELECT token, avg(confidence) / 10 AS p FROM s GROUP BY token), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p)
+    "false_discovery": f"""WITH {LOG}, p AS (SELECT token, avg(confidence) / 10 AS p FROM s GROUP BY token), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p)
         SELECT token, round(p, 9) AS p, round(least(1, min(p * m / r) OVER (ORDER BY r DESC)), 9) AS q FROM r""",
-    "rand_agreement": f"""WITH {_LOG}, {_JUDGED}, c AS (SELECT token, guess, count(*) AS n FROM j GROUP BY token, guess),
+    "rand_agreement": f"""WITH {LOG}, {JUDGED}, c AS (SELECT token, guess, count(*) AS n FROM j GROUP BY token, guess),
         a AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY token)), b AS (SELECT sum(n * (n - 1) / 2) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY guess)), x AS (SELECT sum(n * (n - 1) / 2) AS v, sum(n) AS n FROM c)
         SELECT round((x.v - a.v * b.v / (x.n * (x.n - 1) / 2)) / ((a.v + b.v) / 2 - a.v * b.v / (x.n * (x.n - 1) / 2)), 9) AS ari FROM a, b, x""",
-    "top_classes": """WITH e AS (SELECT vec_id, unnest(embedding[1:8]) AS x, unnest(generate_series(0, 7)) AS i FROM embeddings), m AS (SELECT vec_id, CAST(x AS DOUBLE) AS x, i, max(CAST(x AS DOUBLE)) OVER (PARTITION BY vec_id) AS peak FROM e),
+    "top_classes": """WITH e AS (SELECT vec_id, unnest(embedding) AS x, unnest(generate_series(0, 63)) AS i FROM embeddings), m AS (SELECT vec_id, CAST(x AS DOUBLE) AS x, i, max(CAST(x AS DOUBLE)) OVER (PARTITION BY vec_id) AS peak FROM e),
         p AS (SELECT vec_id, i, exp(x - peak) / sum(exp(x - peak)) OVER (PARTITION BY vec_id) AS p FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) AS r FROM p)
         SELECT vec_id, round(max(p), 6) AS best, string_agg(CAST(i AS VARCHAR), ',' ORDER BY r) FILTER (r <= 3) AS top FROM r GROUP BY vec_id""",
     "standard_scores": """WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(generate_series(0, 63)) AS INTEGER) AS i FROM embeddings), m AS (SELECT i, avg(x) AS mean, stddev_pop(x) AS std FROM e GROUP BY i)
         SELECT vec_id, i, round(CASE WHEN std > 1e-12 THEN (x - mean) / std ELSE 0 END, 6) AS z FROM e JOIN m USING (i)""",
     "centroid_distances": """WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(generate_series(0, 63)) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS c FROM e GROUP BY label, i)
         SELECT vec_id, label, round(sqrt(sum((x - c) * (x - c))), 6) AS distance FROM e JOIN m USING (label, i) GROUP BY vec_id, label""",
-    "binned_accuracy": f"""WITH {_LOG}, {_JUDGED}, b AS (SELECT *, CASE WHEN confidence >= 0 AND confidence < 0.4 THEN 0 WHEN confidence < 0.6 THEN 1 WHEN confidence < 0.8 THEN 2 WHEN confidence < 1.01 THEN 3 END AS bin FROM j)
+    "binned_accuracy": f"""WITH {LOG}, {JUDGED}, b AS (SELECT *, CASE WHEN confidence >= 0 AND confidence < 0.4 THEN 0 WHEN confidence < 0.6 THEN 1 WHEN confidence < 0.8 THEN 2 WHEN confidence < 1.01 THEN 3 END AS bin FROM j)
         SELECT bin, count(*) AS n, avg(CAST(token = guess AS INTEGER)) AS accuracy FROM b WHERE bin IS NOT NULL GROUP BY bin""",
     "order_star_join": "SELECT n_name, count(*) AS n, count(DISTINCT c_custkey) AS customers, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
-    "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01')",
     "hourly_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "user_sessions": """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS f FROM events), g AS (SELECT user_id, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM o),
         c AS (SELECT user_id, g, count(*) AS n FROM g GROUP BY user_id, g) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id""",
-}
+    "interval_reasons": f"""WITH {LOG}, {_SMOOTH}, e AS (SELECT rally, rank, state, lead(rank) OVER (PARTITION BY rally ORDER BY rank) AS nxt, rank - row_number() OVER (PARTITION BY rally, state ORDER BY rank) AS g FROM d),
+        z AS (SELECT max(coalesce(nxt, rank)) - min(rank) AS n FROM e WHERE state = 1 GROUP BY rally, g) SELECT CASE WHEN n < 2 THEN 'too_short' WHEN n > 6 THEN 'too_long' ELSE '' END AS reason, count(*) AS n FROM z GROUP BY 1""",
+    "event_matching": f"""WITH RECURSIVE {LOG}, b AS (SELECT rally, (rank - 1) // 10 + 1 AS bout, token, rank // 2 * 5 AS frame FROM s),
+        p AS (SELECT rally, bout, frame AS x, row_number() OVER (PARTITION BY rally, bout ORDER BY frame) AS i FROM b WHERE token IN ('click', 'view')),
+        t AS (SELECT rally, bout, list(frame ORDER BY frame) AS ys FROM b WHERE token NOT IN ('click', 'view') GROUP BY rally, bout),
+        r AS (SELECT rally, bout, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS x, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick FROM t
+            UNION ALL SELECT rally, bout, i, x, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (SELECT r.rally, r.bout, p.i, p.x, r.used,
+                list_sort(list_transform(list_filter(list_zip(t.ys, generate_series(1, len(t.ys))), lambda y: abs(y[1] - p.x) <= 12 AND NOT list_contains(r.used, y[2])), lambda y: [abs(y[1] - p.x), y[1], y[2]]))[1][3] AS pick
+                FROM r JOIN p ON p.rally = r.rally AND p.bout = r.bout AND p.i = r.i + 1 JOIN t ON t.rally = r.rally AND t.bout = r.bout))
+        SELECT r.rally, r.bout, x AS predicted, ys[pick] AS truth, abs(x - ys[pick]) AS error FROM r JOIN t USING (rally, bout) WHERE pick IS NOT NULL""",
+    "jump_filter": f"""WITH RECURSIVE {LOG}, b AS (SELECT *, (rank - 1) // 10 + 1 AS bout FROM s),
+        r AS (SELECT rally, bout, rank AS seen, rank, value, confidence FROM b WHERE rank = (bout - 1) * 10 + 1
+            UNION ALL SELECT r.rally, r.bout, b.rank, CASE WHEN ok THEN b.rank ELSE r.rank END, CASE WHEN ok THEN b.value ELSE r.value END, CASE WHEN ok THEN b.confidence ELSE r.confidence END
+            FROM r JOIN b ON b.rally = r.rally AND b.bout = r.bout AND b.rank = r.seen + 1, LATERAL (SELECT sqrt((b.value - r.value) * (b.value - r.value) + (b.confidence - r.confidence) * (b.confidence - r.confidence)) <= 60.0 * (b.rank - r.rank) AS ok))
+        SELECT rally, bout, rank, value, confidence FROM r WHERE seen = rank""",
+    "peak_suppression": f"""WITH RECURSIVE {LOG}, b AS (SELECT rally, (rank - 1) // 10 + 1 AS bout, rank, value FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY rally, bout ORDER BY value DESC, rank) AS i FROM b),
+        r AS (SELECT rally, bout, i, rank, value, true AS ok, [rank] AS kept FROM o WHERE i = 1
+            UNION ALL SELECT r.rally, r.bout, o.i, o.rank, o.value, g.ok, CASE WHEN g.ok THEN list_append(r.kept, o.rank) ELSE r.kept END
+            FROM r JOIN o ON o.rally = r.rally AND o.bout = r.bout AND o.i = r.i + 1, LATERAL (SELECT len(list_filter(r.kept, lambda k: abs(k - o.rank) < 4)) = 0 AS ok) g)
+        SELECT rally, bout, rank, value FROM r WHERE ok""",
+} | tables.ORACLE_SQL

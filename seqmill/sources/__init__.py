@@ -1,4 +1,4 @@
-"""Sources and sinks: CSV directories with keys in their paths, Parquet, JSON summaries."""
+"""Sources and sinks: text CSV, CSV directories with keys in their paths, labelled matrices, JSON, fixed headers."""
 
 from __future__ import annotations
 
@@ -15,7 +15,9 @@ def read_set_directory(spark: SparkSession, root: str, columns: list[str]) -> Da
     """``*/set*.csv`` below ``root`` with match_name (folder) and set_id (file name)."""
     rows = spark.read.csv(f"{root}/*/set*.csv", header=True, schema=", ".join(f"`{c}` string" for c in columns), nullValue="")
     path = F.col("_metadata.file_path")
-    return rows.select("*", F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("match_name"), F.regexp_extract(path, r"set(\d+)\.csv$", 1).cast("int").alias("set_id"))
+    number = F.regexp_extract(path, r"/set(\d+)\.csv$", 1)
+    number = F.when(number != "", number.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no set number in "), path)))
+    return rows.select("*", F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("match_name"), number.alias("set_id"))
 
 
 def write_columns(df: DataFrame, path: str, columns: list[str], fmt: str = "parquet") -> None:
@@ -23,3 +25,38 @@ def write_columns(df: DataFrame, path: str, columns: list[str], fmt: str = "parq
     have = set(df.columns)
     out = df.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns])
     out.write.mode("overwrite").options(header=True).format(fmt).save(path)
+
+
+def read_matrix(spark: SparkSession, path: str, labels: list[str], row: str = "cur", column: str = "nxt", value: str = "value") -> DataFrame:
+    """A CSV matrix with row labels in its first column, in long form; blank cells have no row."""
+    wide = spark.read.csv(path, header=True, schema="`_row` string, " + ", ".join(f"`{c}` double" for c in labels), nullValue="")
+    return wide.unpivot("_row", [f"`{c}`" for c in labels], column, value).withColumnRenamed("_row", row).where(F.col(value).isNotNull())
+
+
+def write_matrix(cells: DataFrame, path: str, labels: list[str], row: str = "cur", column: str = "nxt", value: str = "value") -> None:
+    """Long cells as one CSV matrix over a fixed vocabulary, in its order; absent cells are zero."""
+    wide = cells.groupBy(row).agg(*[F.coalesce(F.sum(F.when(F.col(column) == c, F.col(value))), F.lit(0.0)).alias(c) for c in labels])
+    order = cells.sparkSession.createDataFrame([(i, c) for i, c in enumerate(labels)], f"_i int, `{row}` string")
+    out = F.broadcast(order).join(wide, row, "left").fillna(0.0, labels)  # a vocabulary by itself
+    out.coalesce(1).sortWithinPartitions("_i").select(row, *labels).write.mode("overwrite").csv(path, header=True)
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents or lines with a declared schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines; nulls are written, so that every row has every field."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
+    """Parquet with a folder per key value; rows of a value come together first, so a folder has few files."""
+    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def read_classes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Files of ``root/class/file``: path, label (the folder) and length, without their bytes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/*/*").select("path", "length")
+    return files.withColumn("label", F.url_decode(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)))
