@@ -47,7 +47,17 @@ def settle(df: DataFrame) -> DataFrame:
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._settled = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete settled tables early; all that was made of them must be settled by then."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._settled)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def strip_chars(text: Column, chars: tuple[str, ...] | list[str]) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from seqmill.llm.anchors import Ranges, winnow
 from seqmill.llm.bwt import repeated
-from seqmill.llm.common import _RANDOM, chunks, settle, text_bytes
+from seqmill.llm.common import _RANDOM, chunks, forget, settle, text_bytes
 
 LENGTH = 200
 ANCHOR = 96
@@ -126,8 +126,10 @@ def longer(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
 def _kinds(found: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Spans of stretches found twice, and a stretch of each kind of the anchors that have several."""
-    met = found.groupBy("a").agg(F.sum("n").alias("t")).where("t > 1").select("a")
+    # Settled, so that a hot anchor's join is plain and adaptive execution may split it.
+    met = settle(found.groupBy("a").agg(F.sum("n").alias("t")).where("t > 1").select("a"))
     shared = settle(found.join(met, "a", "left_semi"))
+    forget(found, met)
     kinds = shared.groupBy("a", "c").agg(F.sum("n").alias("t"), F.min(F.struct("doc_id", "tk", "at")).alias("one"))
     several = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
     kinds = settle(kinds.join(several, "a").where("t > 1 OR kinds > 1"))
