@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.llm.anchors import Ranges, winnow
-from seqmill.llm.common import chunks, settle, span_hashes, spans, text_bytes
+from seqmill.llm.common import chunks, forget, settle, span_hashes, spans, text_bytes
 
 LENGTH = 13
 ANCHOR = 5
@@ -89,12 +89,15 @@ def _windows(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(doc_id, start, end): word spans covered by windows that a smaller doc_id also has."""
-    found = stretches(docs, length, k)
-    met = found.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a")
+    found = settle(stretches(docs, length, k))  # the texts are cut and hashed once
+    # Settled, so that a hot anchor's join is plain and adaptive execution may split it.
+    met = settle(found.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a"))
     shared = settle(found.join(met, "a", "left_semi"))
+    forget(found, met)
     kinds = shared.groupBy("a", "c").agg(F.min("doc_id").alias("first"))
     several = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
-    placed = settle(shared.join(kinds, ["a", "c"]).join(several, "a").where("doc_id > first OR kinds > 1"))
+    kinds = settle(kinds.join(several, "a"))
+    placed = settle(shared.join(kinds, ["a", "c"]).where("doc_id > first OR kinds > 1"))
     inside = placed.where("doc_id > first").select("doc_id", F.shiftright("at", 8).alias("start"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + length).alias("end"))
     ends = settle(_windows(docs, placed.where("doc_id = first AND kinds > 1").select("a", "at", "doc_id"), length))
     least = ends.groupBy("a", "w").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a", "w", "x")
