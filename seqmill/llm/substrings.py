@@ -1,16 +1,18 @@
 """Substring dedup by seed and extend over winnowed word anchors.
 
 Seeds: every window of ``length`` words chooses one k-gram anchor; documents meet on anchors.
-Extension both ways is by hashes of the words around an anchor, so no pairs are made:
+Each seed is joined to one partner, the smallest document that has it, so no group gives all pairs:
 
 1. An anchor that only one document has is dropped (smallest and largest doc_id are equal).
 2. The whole stretch that chose the anchor is hashed. Where a smaller document has the same
-   stretch, all its windows are repeats: the inside of long matches.
+   stretch, it is the partner for all its windows: the inside of long matches.
 3. Where an anchor's stretches differ, the ends of matches lie. One stretch of each kind is cut
-   into its windows, and each window is compared with those of the other kinds.
+   into its windows, and each window's partner is the smallest document of the other kinds with it.
 
-The repeats found for a document are merged to maximal spans, and their words go. Anchors and
-stretches or windows are compared together, as 128 bits.
+A seed and its partner's place give a diagonal. Seeds of one partner that touch on one diagonal are
+extended both ways into one maximal match (``matches``); a match ends where the words differ or
+where the seeds of another partner take over. The words of all matches go, as maximal spans. Anchors and
+stretches or windows are compared together, as 128 bits; words are not compared one by one.
 
 Defined cases: null, empty or short text has no window and stays whole; rows that share a
 doc_id are the same document and must have the same text; a null doc_id meets no other and
@@ -88,37 +90,59 @@ def _windows(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """(doc_id, start, end): word spans covered by windows that a smaller doc_id also has."""
+    """(doc_id, start, end, other, other_start): seeds, each with the smallest doc_id that has it and its first place there."""
     found = settle(stretches(docs, length, k))  # the texts are cut and hashed once
     # Settled, so that a hot anchor's join is plain and adaptive execution may split it.
     met = settle(found.groupBy("a").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a"))
     shared = settle(found.join(met, "a", "left_semi"))
     forget(found, met)
-    kinds = shared.groupBy("a", "c").agg(F.min("doc_id").alias("first"))
+    kinds = shared.groupBy("a", "c").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("a", "c", F.col("first.doc_id").alias("first"), F.shiftright("first.at", 8).alias("first_start"))
     several = kinds.groupBy("a").agg(F.count("*").alias("kinds"))
     kinds = settle(kinds.join(several, "a"))
     placed = settle(shared.join(kinds, ["a", "c"]).where("doc_id > first OR kinds > 1"))
-    inside = placed.where("doc_id > first").select("doc_id", F.shiftright("at", 8).alias("start"), (F.shiftright("at", 8) + F.col("at").bitwiseAND(255) + length).alias("end"))
+    start = F.shiftright("at", 8)
+    inside = placed.where("doc_id > first").select("doc_id", start.alias("start"), (start + F.col("at").bitwiseAND(255) + length).alias("end"), F.col("first").alias("other"), F.col("first_start").alias("other_start"))
     ends = settle(_windows(docs, placed.where("doc_id = first AND kinds > 1").select("a", "at", "doc_id"), length))
-    least = ends.groupBy("a", "w").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("a", "w", "x")
-    at_ends = ends.join(least, ["a", "w"]).where("doc_id > x").select("doc_id", "start", (F.col("start") + length).alias("end"))
+    least = ends.groupBy("a", "w").agg(F.min(F.struct("doc_id", "start")).alias("x"), F.max("doc_id").alias("y")).where("x.doc_id < y")
+    least = least.select("a", "w", F.col("x.doc_id").alias("other"), F.col("x.start").alias("other_start"))
+    at_ends = ends.join(least, ["a", "w"]).where("doc_id > other").select("doc_id", "start", (F.col("start") + length).alias("end"), "other", "other_start")
     return inside.unionByName(at_ends)
 
 
+def extend(row: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The same five columns with one entry for each maximal match: seeds that touch on one diagonal of one partner."""
+    if len(row) == 0:
+        return row, start, end, other, other_start
+    diagonal = start - other_start
+    order = np.lexsort((start, diagonal, other, row))
+    row, start, end, other, diagonal = row[order], start[order], end[order], other[order], diagonal[order]
+    apart = np.ones(len(row), bool)
+    apart[1:] = (row[1:] != row[:-1]) | (other[1:] != other[:-1]) | (diagonal[1:] != diagonal[:-1])
+    lift = np.cumsum(apart) * (end.max() + 1)  # the furthest end so far starts anew on each diagonal
+    reach = np.maximum.accumulate(end + lift) - lift
+    apart[1:] |= start[1:] > reach[:-1]
+    first = np.flatnonzero(apart)
+    last = np.concatenate((first[1:], [len(row)])) - 1
+    return row[first], start[first], reach[last], other[first], start[first] - diagonal[first]
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, spans (maximal removed word spans), text (kept words)."""
-    gone = settle(repeats(docs, length, k)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    """Per row: doc_id, n_words, n_removed, spans (maximal removed word spans), matches (maximal repeats and where they stand in a smaller doc_id), text (kept words)."""
+    gone = settle(repeats(docs, length, k)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "other", "other_start")).alias("gone"))
     rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        places = ["start", "end", "other", "other_start"]
         for batch in batches:
             for part in chunks(batch, "text", CHUNK):
                 n_words, n_removed, merged, kept = [], [], [], []
                 runs = part.column("gone")
-                lists, flat = np.asarray(runs.offsets), runs.flatten()
-                begin, end = (np.asarray(flat.field(f)).astype(np.int64) for f in ("start", "end"))
-                lists = lists - lists[0]
+                owner, flat = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(runs.offsets))), runs.flatten()
+                owner, *match = extend(owner, *(np.asarray(flat.field(f)).astype(np.int64) for f in places))
+                begin, end = match[:2]
+                lists = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                matches = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in match], places))
                 for i, text in enumerate(part.column("text").to_pylist()):
                     w = (text or "").encode().split()
                     own: list[dict] = []
@@ -136,9 +160,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
                         del w[s["start"] : s["end"]]
                     merged.append(own)
                     kept.append(b" ".join(w).decode())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(merged, span), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(merged, span), matches, pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "matches", "text"])
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, text string")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, matches array<struct<start:long,end:long,other:long,other_start:long>>, text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

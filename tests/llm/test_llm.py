@@ -72,6 +72,26 @@ def test_substrings_equal_brute_force(spark):
         assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256) == (len(w), len(out), hashlib.sha256(kept).hexdigest())
 
 
+def test_substring_matches_are_maximal_repeats(spark):
+    """Each match holds the same words in a smaller document, and ends where words differ or another partner's match goes on."""
+    texts = odd_texts()
+    words = [(t or "").encode().split() for t in texts]
+    n = 0
+    for r in substrings.dedup(docs_of(spark, texts)).collect():
+        w, covered = words[r.doc_id], set()
+        for m in r.matches:
+            other, shift = words[m.other], m.start - m.other_start
+            assert m.other < r.doc_id and m.end - m.start >= 13 and w[m.start : m.end] == other[m.other_start : m.end - shift]
+            for at, x, y in ((m.start - 1, m.start - 1, m.start + 12), (m.end, m.end - 12, m.end + 1)):
+                if 0 <= at < len(w) and 0 <= at - shift < len(other) and w[at] == other[at - shift]:
+                    beyond = [o for o in r.matches if o.start <= x and y <= o.end]
+                    assert beyond and all((o.other, o.start - o.other_start) != (m.other, shift) for o in beyond)
+            covered |= set(range(m.start, m.end))
+            n += 1
+        assert sorted(covered) == [i for s in r.spans for i in range(s.start, s.end)]
+    assert n > 5
+
+
 @pytest.mark.parametrize("most", [suffixes.MOST_KINDS, 1])
 def test_suffixes_equal_brute_force(spark, most):
     """With few kinds allowed, anchors are hot and choose longer ones, down to whole windows."""
