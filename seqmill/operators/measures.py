@@ -68,6 +68,18 @@ def histogram2d(rows: DataFrame, x: str, y: str, x_range: tuple[float, float], y
     return inside.groupBy(bucket(x, *x_range).alias("bx"), bucket(y, *y_range).alias("by")).agg(F.count("*").alias("n"))
 
 
+def ranged_histogram2d(rows: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """Counts on a grid over the range of the data, found by an aggregate of one row; rows with a null go, a range of one value is one middle bin."""
+    lo_hi = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(*[f(c).alias(f"_{i}{n}") for i, c in enumerate((x, y)) for n, f in (("lo", F.min), ("hi", F.max))])
+    placed = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).join(F.broadcast(lo_hi), F.lit(True))  # one row
+
+    def bucket(c: str, i: int) -> Column:
+        lo, hi = F.col(f"_{i}lo"), F.col(f"_{i}hi")
+        return F.when(hi > lo, F.least(F.floor((F.col(c) - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(bins // 2).cast("int")
+
+    return placed.groupBy(bucket(x, 0).alias("bx"), bucket(y, 1).alias("by")).agg(F.count("*").alias("n"))
+
+
 def benjamini_hochberg(rows: DataFrame, p: str) -> DataFrame:
     """Step-up q-values. The tests of one family are few, so one window holds them."""
     m = F.count("*").over(Window.partitionBy())

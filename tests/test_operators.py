@@ -185,3 +185,17 @@ def test_sinks_round_trip(spark, tmp_path):
     (tmp_path / "k" / "smash").mkdir(parents=True)
     (tmp_path / "k" / "smash" / "1.bin").write_bytes(b"abc")
     assert [(r.label, r.length) for r in sources.read_classes(spark, f"{tmp_path}/k").collect()] == [("smash", 3)]
+
+
+def test_lengths_and_bones_of_small_arrays(spark):
+    from seqmill.functions import tensors
+
+    points = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.array(i.cast("double"), F.lit(0.0)))
+    rows = spark.createDataFrame([(n,) for n in (3, 4, 5, 7, 9)], "n int").withColumn("p", tensors.thinned(points, 4))
+    got = {r.n: [x[0] for x in r.q] for r in rows.select("n", tensors.padded(F.col("p"), 4, F.array(F.lit(0.0), F.lit(0.0))).alias("q")).collect()}
+    assert got == {3: [1, 2, 3, 0], 4: [1, 2, 3, 4], 5: [1, 2, 3, 4], 7: [1, 3, 5, 7], 9: [1, 3, 5, 7]}
+    two = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(4.0), F.lit(0.0)))
+    row = spark.range(1).select(tensors.bones(two, [(0, 1)]).alias("b"), tensors.mid_joints(two, [(0, 1)]).alias("m")).first()
+    assert row.b == [[3.0, 0.0]] and row.m == [[2.5, 0.0]]
+    none = spark.createDataFrame([([],)], "p array<array<double>>").select(tensors.last_visible(F.col("p")).alias("l"), tensors.frame_at(F.col("p"), F.lit(3)).alias("f")).first()
+    assert none.l is None and none.f is None
