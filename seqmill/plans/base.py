@@ -13,14 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as a log: rally, event_id, rank, token, value, confidence, frame."""
+    """events as a log: rally, event_id, rank, token, value, confidence (the share ``k`` of its properties), ts."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return e.select(F.col("user_id").alias("rally"), "event_id", rank.alias("rank"), F.col("event_type").alias("token"), "value", ((F.col("event_id") * 37 % 100) / F.lit(100.0)).alias("confidence"), "ts")
+    return e.select(F.col("user_id").alias("rally"), "event_id", rank.alias("rank"), F.col("event_type").alias("token"), "value", (F.get_json_object("props", "$.k").cast("double") / 100).alias("confidence"), "ts")
 
 
 LOG = """s AS (SELECT user_id AS rally, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS rank, event_type AS token, value,
-    (event_id * 37 % 100) / CAST(100 AS DOUBLE) AS confidence, ts FROM events)"""
+    CAST(props ->> '$.k' AS DOUBLE) / 100 AS confidence, ts FROM events)"""
 
 
 def spans(spark, sf_dir):

@@ -169,7 +169,7 @@ def unclaimed_points(spark, sf_dir):
 
 
 def holding_spans(spark, sf_dir):
-    return joins.holding(spans(spark, sf_dir), _points(spark, sf_dir).where("event_id % 2 = 0"), "rally", "frame")
+    return joins.holding(spans(spark, sf_dir), log(spark, sf_dir).where("token <> 'view'").select("rally", (F.col("rank") * 2 + 1).alias("frame")), "rally", "frame")
 
 
 def ordinal_pairs(spark, sf_dir):
@@ -426,7 +426,7 @@ ORACLE_SQL: dict[str, str] = {
     "disagreeing_keys": "SELECT c_custkey AS k, c_nationkey, s_nationkey FROM customer JOIN supplier ON c_custkey = s_suppkey WHERE c_nationkey IS DISTINCT FROM s_nationkey",
     "claimed_points": f"""WITH {LOG}, {SPANS}, {_POINTS} SELECT t.rally, event_id, arg_min(i.start, i."end" * 1000 + i.start) AS start, arg_min(i."end", i."end" * 1000 + i.start) AS "end" FROM t JOIN i ON t.rally = i.rally AND frame BETWEEN i.start AND i."end" GROUP BY t.rally, event_id""",
     "unclaimed_points": f'WITH {LOG}, {SPANS}, {_POINTS} SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.rally = t.rally AND t.frame BETWEEN i.start AND i."end")',
-    "holding_spans": f'WITH {LOG}, {SPANS}, {_POINTS} SELECT * FROM i WHERE EXISTS (SELECT 1 FROM t WHERE event_id % 2 = 0 AND i.rally = t.rally AND t.frame BETWEEN i.start AND i."end")',
+    "holding_spans": f"""WITH {LOG}, {SPANS}, {_POINTS} SELECT * FROM i WHERE EXISTS (SELECT 1 FROM t JOIN s USING (event_id) WHERE token <> 'view' AND i.rally = t.rally AND t.frame BETWEEN i.start AND i."end")""",
     "ordinal_pairs": f"""WITH {_B}, n AS (SELECT *, row_number() OVER (PARTITION BY rally, bout ORDER BY rank) AS a, row_number() OVER (PARTITION BY rally, bout ORDER BY rank DESC) AS z FROM b)
         SELECT x.token, y.token AS other, count(*) AS n FROM n x JOIN n y ON x.rally = y.rally AND x.bout = y.bout AND x.a = y.z GROUP BY 1, 2""",
     "reference_errors": f"WITH {_FRAMES}, l AS (SELECT rally, frame, greatest(e - 1, window_start) - window_start + 1 AS length FROM x) SELECT rally, frame, length, frame % 2 = 0 AS matched, CASE WHEN frame % 2 = 0 THEN abs(length - 20) END AS error FROM l",
