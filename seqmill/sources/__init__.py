@@ -1,7 +1,12 @@
-"""Sources and sinks: text CSV, CSV directories with keys in their paths, labelled matrices, JSON, fixed headers."""
+"""Sources and sinks: text CSV, CSV directories with keys in their paths, labelled matrices, JSON, array files, fixed headers."""
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +65,40 @@ def read_classes(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     """Files of ``root/class/file``: path, label (the folder) and length, without their bytes."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/*/*").select("path", "length")
     return files.withColumn("label", F.url_decode(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)))
+
+
+def _array_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            loaded = np.load(io.BytesIO(content), allow_pickle=False)
+            named = loaded.items() if isinstance(loaded, np.lib.npyio.NpzFile) else [("", loaded)]
+            for name, a in named:
+                a = np.atleast_1d(a)
+                for low in range(0, len(a), 1024):
+                    part = a[low : low + 1024]
+                    values = list(part.reshape(len(part), -1).astype("float64"))
+                    yield pd.DataFrame({"path": path, "name": name, "row_index": np.arange(low, low + len(part)), "shape": [list(a.shape[1:])] * len(part), "values": values})
+
+
+def read_arrays(spark: SparkSession, path: str, pattern: str = "*.np[yz]") -> DataFrame:
+    """NPY and NPZ files as rows of their first axis: path, name (in an NPZ), row_index, shape of a row, its values flat.
+
+    A task holds one file, so large tensors should come as many files; Spark refuses one over 2 GB.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(_array_rows, "path string, name string, row_index long, shape array<long>, values array<double>")
+
+
+def checked_arrays(df: DataFrame, column: str, length: int) -> DataFrame:
+    """``df`` whose arrays all have ``length`` finite values; any other raises when it is read."""
+    c = F.col(column)
+    ok = (F.size(c) == length) & F.forall(c, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return df.withColumn(column, F.when(c.isNotNull() & ok, c).otherwise(F.raise_error(F.lit(f"{column}: not {length} finite values"))))
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", hashed_below: int = 1 << 30) -> DataFrame:
+    """(path, length, modified, sha256): every file below ``path``; only those under ``hashed_below`` bytes are read and hashed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    facts = F.col("path"), F.col("length"), F.col("modificationTime").alias("modified")
+    small = files.where(F.col("length") < hashed_below).select(*facts, F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(files.where(F.col("length") >= hashed_below).select(*facts, F.lit(None).cast("string").alias("sha256")))
