@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqmill.llm import decontaminate, html, langid, lines, near, packing, quality, substrings, suffixes, toxicity
+from seqmill.llm import align, audit, decontaminate, html, langid, lines, near, packing, quality, substrings, suffixes, toxicity, urls
 from seqmill.llm.common import table
 
 
@@ -50,9 +50,26 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The urls that the rules decide are the small labelled table from which the others are judged."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.fit(urls.ruled(pages)))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substrings, op2_decontaminate, op3_language, op4_packing, op5_quality, op6_toxicity, op7_near, op8_suffixes, op9_html, op10_lines)
-}
+    f.__name__: f
+    for f in (
+        op1_substrings, op2_decontaminate, op3_language, op4_packing, op5_quality, op6_toxicity, op7_near, op8_suffixes, op9_html, op10_lines, op11_alignment, op12_urls, op13_audit,
+    )
+}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,4 +128,21 @@ ORACLE_SQL: dict[str, str] = {
         k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) FILTER (b.bare IS NULL) AS left_text, count(b.bare) AS n FROM t LEFT JOIN b USING (bare) GROUP BY doc_id)
         SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_removed_lines, CAST(length(coalesce(left_text, '')) AS BIGINT) AS n_chars_left, sha256(coalesce(left_text, '')) AS kept_sha256
         FROM documents LEFT JOIN k USING (doc_id)""",
+    "op13_audit": f"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+        l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+        e AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+        b AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(w) < 50 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INTEGER)
+            + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER)
+            + 16 * CAST(coalesce(doc_id > first, false) AS INTEGER) AS bits FROM e LEFT JOIN l USING (doc_id)),
+        g AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM b GROUP BY part, bits),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT p.f || q.f || r.f || s.f || t.f AS o FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+        s AS (SELECT o, step, 1 << (ascii(o[step]) - 65) AS f, CAST(coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(o[k]) - 65))), 0) AS INTEGER) AS bef FROM o, (SELECT unnest(generate_series(1, 5)) AS step)),
+        c AS (SELECT part, o, step, sum(CASE WHEN bits & (bef | f) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN bits & f > 0 AND bits & bef = 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN bits & f > 0 AND bits & bef > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN bits = f THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN bits & f > 0 AND bits & bef = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN bits & f > 0 AND bits & bef = 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM g, s GROUP BY part, o, step)
+        SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+            CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley FROM c""",
 }
