@@ -24,6 +24,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,12 @@ from seqmill.llm.common import chunks, settle
 
 #: Pairs with one part in so many of all links are broadcast: at most this many rows.
 SHARE = 131_072
-#: Segments are remembered until they hold this many characters.
-MEMORY = 8_000_000
+#: Segments are remembered until there are so many, or until they hold so many characters.
+MEMORY = (300_000, 6_000_000)
+#: New segments are encoded together, up to so many characters at once.
+BLOCK = 100_000
+#: Bytes of text that are looked at together.
+CHUNK = 1_000_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<a:int,b:int,n:int>>"
 
@@ -51,23 +56,13 @@ class IntervalIndex:
         return np.searchsorted(self.ends, starts, "right"), np.searchsorted(self.starts, ends, "left")
 
 
-def ranges(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum(np.asarray(sizes, np.int64))
-    return ends - np.asarray(sizes, np.int64), ends
-
-
-def group_tokens(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> tuple[list[tuple[list[int], list[int]]], np.ndarray]:
-    """(groups, links): tokens of A and B between gaps that none of them spans, and the overlapping pairs (a, b)."""
-    first, last = IntervalIndex(*ranges(b_sizes)).stab(*ranges(a_sizes))
-    cuts = [0, *(np.flatnonzero(first[1:] >= last[:-1]) + 1).tolist(), len(a)]
-    groups = [(a[i:j], b[first[i] : last[j - 1]]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-    n = last - first
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-    return groups, np.column_stack((np.repeat(np.asarray(a, np.int64), n), np.asarray(b, np.int64)[at]))
+def within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... anew for every count."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 class Aligner:
-    """Both tokenizers and what is known of the segments met so far."""
+    """Both tokenizers, and what is known of the segments met so far: counts, links and groups."""
 
     def __init__(self, a_path: str, b_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,9 +74,14 @@ class Aligner:
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in printable]
         byte_of = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(hidden)}
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [b""] * (1 + max(self.a.get_vocab().values()))
+        for t, i in self.a.get_vocab().items():
+            self.a_bytes[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.ids = max(len(self.a_bytes), len(pieces))
+        self.spelled = [f"{i}{sign}" for sign in ",|;\n" for i in range(self.ids)]
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
         plain = spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex")
@@ -90,76 +90,109 @@ class Aligner:
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.held, self.unlike = 0, set()
-        self.groups: list[list[tuple[list[int], list[int]]] | None] = []
-        self.written: list[str] = []
-        self.links: list[np.ndarray] = []
-        self.counts: list[tuple[int, int, int, int]] = []
+        self.held, self.unlike, self.written = 0, set(), []
+        self.counts, self.links, self.starts = np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int32), np.zeros(1, np.int64)
 
     def segments(self, text: str) -> list[str]:
-        if not self.cuttable:
+        if not text or not self.cuttable:
             return [text] if text else []
         words = text.split(" ")
-        if all(w and not w[0].isspace() and not w[-1].isspace() for w in words):
-            return words
-        return _CUT.split(text) if text else []
+        return words if words == text.split() else _CUT.split(text)
 
     def learn(self, new: list[str]) -> None:
-        coded = self.a.encode_batch_fast([" " + s for s in new], add_special_tokens=False)
-        for s, a, b in zip(new, coded, self.b.encode(new, num_threads=1), strict=True):
-            ids, want = a.ids, b" " + s.encode()
-            xs, ys = [self.a_bytes[i] for i in ids], [self.b_bytes[i] for i in b]
-            self.at[s] = len(self.groups)
-            self.held += len(s)
-            if b"".join(xs) == want == b"".join(ys):
-                groups, links = group_tokens(ids, b, list(map(len, xs)), list(map(len, ys)))
-                self.groups.append(groups)
-                self.written.append(";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups))
-                self.links.append(links)
-                self.counts.append((len(ids), len(b), len(groups), len(links)))
-            else:
-                self.unlike.add(s)
-                self.groups.append(None)
-                self.written.append("")
-                self.links.append(np.zeros((0, 2), np.int64))
-                self.counts.append((0, 0, 0, 0))
+        """Encode and align new segments: those without white space at their ends in long texts, the others one by one."""
+        blocks: list[list[str]] = []
+        room = 0
+        for s in new:
+            alone = not self.cuttable or s[0].isspace() or s[-1].isspace() or "▁" in s
+            if alone or room < len(s):
+                room = 0 if alone else BLOCK
+                blocks.append([])
+            blocks[-1].append(s)
+            room -= len(s)
+        counts, links = [self.counts], [self.links]
+        while blocks:
+            block = blocks.pop()
+            got = self.aligned(block)
+            if got is None and len(block) > 1:
+                blocks += [[s] for s in block]
+                continue
+            self.at.update(zip(block, range(len(self.written), len(self.written) + len(block)), strict=True))
+            self.held += sum(map(len, block))
+            if got is None:
+                self.unlike.update(block)
+                got = np.zeros((1, 4), np.int64), np.zeros((0, 2), np.int32), [""]
+            counts.append(got[0])
+            links.append(got[1])
+            self.written += got[2]
+        self.counts, self.links = np.concatenate(counts), np.concatenate(links)
+        self.starts = np.concatenate(([0], np.cumsum(self.counts[:, 3])))
+
+    def aligned(self, block: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]] | None:
+        """(counts, links, groups as text) of segments that follow each other; None unless the token bytes are the text's."""
+        text = " ".join(block)
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        want = b" " + text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != want or b"".join(map(self.b_bytes.__getitem__, b)) != want:
+            return None
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        a_starts, b_starts = a_ends - self.a_sizes[a], b_ends - self.b_sizes[b]
+        ends = np.cumsum([len(s.encode()) + 1 for s in block])
+        if not (np.isin(ends, a_ends).all() and np.isin(ends, b_ends).all()):
+            return None
+        first, last = IntervalIndex(b_starts, b_ends).stab(a_starts, a_ends)
+        opens = np.concatenate(([True], first[1:] >= last[:-1]))  # no B token spans the gap before
+        a_group = np.cumsum(opens) - 1
+        b_opens = np.zeros(len(b), bool)
+        b_opens[first[opens]] = True
+        b_group = np.cumsum(b_opens) - 1
+        n = last - first
+        links = np.column_stack((np.repeat(a, n), b[np.repeat(first, n) + within(n)])).astype(np.int32)
+        at = lambda starts: np.searchsorted(ends, starts, "right")
+        a_at, b_at = at(a_starts), at(b_starts)
+        count = lambda where, weights=None: np.bincount(where, weights, minlength=len(block)).astype(np.int64)
+        counts = np.column_stack((count(a_at), count(b_at), count(a_at[opens]), count(a_at, n)))
+        # Each id with the sign after it: , within a side, | after A's side, ; after a group, a line's end after a segment.
+        a_sizes, b_sizes = np.bincount(a_group), np.bincount(b_group)
+        coded = np.zeros(len(a) + len(b), np.int64)
+        a_sign = np.append(opens[1:], True).astype(np.int64)
+        b_sign = 2 * np.append(b_opens[1:], True) + np.append(b_at[1:] != b_at[:-1], True)
+        coded[np.arange(len(a)) + (np.cumsum(b_sizes) - b_sizes)[a_group]] = a + a_sign * self.ids
+        coded[np.arange(len(b)) + np.cumsum(a_sizes)[b_group]] = b + b_sign * self.ids
+        return counts, links, "".join(map(self.spelled.__getitem__, coded.tolist())).splitlines()
 
     def places(self, texts: list[str | None]) -> tuple[list[list[str]], list[bool]]:
         """Segments of each text, all of them known now, and whether the text has tokens."""
-        if self.held > MEMORY:
+        if len(self.at) > MEMORY[0] or self.held > MEMORY[1]:
             self.forget()
         rows = [self.segments(t or "") for t in texts]
-        new = {s for r in rows for s in r}.difference(self.at)
+        new = set(chain.from_iterable(rows)).difference(self.at)
         if new:
             self.learn(sorted(new))
         return rows, [bool(r) and self.unlike.isdisjoint(r) for r in rows]
 
-    def digest(self, texts: list[str | None]) -> tuple[list[tuple[int, int, int, int, str]], np.ndarray, np.ndarray]:
-        """Counts and groups_sha256 of each text; rows (text, a, b, n) of their links, and where each text's begin."""
+    def digest(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(four counts by text, groups_sha256 by text, links (a, b, times), where each text's links begin)."""
         rows, whole = self.places(texts)
-        out, n_texts = [], len(texts)
-        flat = np.fromiter((self.at[s] for r, ok in zip(rows, whole, strict=True) if ok for s in r), np.int64)
-        row = np.repeat(np.arange(n_texts), [len(r) if ok else 0 for r, ok in zip(rows, whole, strict=True)])
-        table = np.array(self.counts, np.int64).reshape(-1, 4)
-        sums = [np.bincount(row, weights=table[flat, k], minlength=n_texts).astype(np.int64).tolist() for k in range(4)]
-        at = self.at
-        for i, (r, ok) in enumerate(zip(rows, whole, strict=True)):
-            sha = hashlib.sha256(";".join([self.written[at[s]] for s in r]).encode()).hexdigest() if ok else ""
-            out.append((*(s[i] for s in sums), sha))
-        key, times = np.unique(row * max(1, len(table)) + flat, return_counts=True)
-        row, seg = np.divmod(key, max(1, len(table)))
-        used, seg = np.unique(seg, return_inverse=True)
-        size = table[used, 3]
-        links = np.concatenate([np.zeros((0, 2), np.int64), *[self.links[u] for u in used.tolist()]])
-        n = size[seg]
-        pick = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(size) - size)[seg], n)
-        row, times, pair = np.repeat(row, n), np.repeat(times, n), (links[pick, 0] << 32) | links[pick, 1]
+        rows = [r if ok else [] for r, ok in zip(rows, whole, strict=True)]
+        flat = np.fromiter(map(self.at.__getitem__, chain.from_iterable(rows)), np.int64)
+        n = len(texts)
+        row = np.repeat(np.arange(n), list(map(len, rows)))
+        counts = np.column_stack([np.bincount(row, self.counts[flat, k], minlength=n).astype(np.int64) for k in range(4)])
+        spelled, ends = list(map(self.written.__getitem__, flat.tolist())), np.cumsum(list(map(len, rows))).tolist()
+        shas = [hashlib.sha256(";".join(spelled[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip([0, *ends], ends)]
+        key, times = np.unique(row * max(1, len(self.written)) + flat, return_counts=True)
+        row, seg = np.divmod(key, max(1, len(self.written)))
+        size = self.counts[seg, 3]
+        pick = np.repeat(self.starts[seg], size) + within(size)
+        row, times, pair = np.repeat(row, size), np.repeat(times, size), (self.links[pick, 0].astype(np.int64) << 32) | self.links[pick, 1]
         order = np.lexsort((pair, row))
         row, times, pair = row[order], times[order], pair[order]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (pair[1:] != pair[:-1]))))
         times = np.add.reduceat(times, first) if len(first) else times
         row, pair = row[first], pair[first]
-        return out, np.column_stack((pair >> 32, pair & 0xFFFFFFFF, times)), np.searchsorted(row, np.arange(n_texts + 1))
+        return counts, shas, np.column_stack((pair >> 32, pair & 0xFFFFFFFF, times)), np.searchsorted(row, np.arange(n + 1))
 
 
 def paths(a: str | None, b: str | None) -> tuple[str, str]:
@@ -179,10 +212,10 @@ def encoded(docs: DataFrame, a: str | None = None, b: str | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*paths(a, b))
         for batch in batches:
-            for part in chunks(batch):
-                rows, links, starts = aligner.digest(part.column("text").to_pylist())
+            for part in chunks(batch, "text", CHUNK):
+                counts, shas, links, starts = aligner.digest(part.column("text").to_pylist())
                 pairs = pa.StructArray.from_arrays([pa.array(links[:, k].astype(np.int32)) for k in range(3)], ["a", "b", "n"])
-                columns = [pa.array([r[k] for r in rows], pa.string() if k == 4 else pa.int64()) for k in range(5)]
+                columns = [*[pa.array(counts[:, k]) for k in range(4)], pa.array(shas, pa.string())]
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pairs)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *columns, lists], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
@@ -195,10 +228,12 @@ def groups(docs: DataFrame, a: str | None = None, b: str | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*paths(a, b))
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, "text", CHUNK):
                 texts, ids = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
                 rows, whole = aligner.places(texts)
-                got = [(d, i, *g) for d, r, ok in zip(ids, rows, whole, strict=True) if ok for i, g in enumerate(g for s in r for g in aligner.groups[aligner.at[s]])]
+                ids_of = lambda side: [int(x) for x in side.split(",")]
+                spelled = ((d, ";".join(aligner.written[aligner.at[s]] for s in r)) for d, r, ok in zip(ids, rows, whole, strict=True) if ok)
+                got = [(d, i, *map(ids_of, g.split("|"))) for d, text in spelled for i, g in enumerate(text.split(";"))]
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate(kinds)], names=["doc_id", "group", "a_ids", "b_ids"])
 

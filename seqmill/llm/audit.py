@@ -21,7 +21,7 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqmill.llm.common import words_of
@@ -124,9 +124,10 @@ def interactions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     size = F.bit_count("before")
     last = len(FILTERS) - 1
     times = F.array(*[F.lit(factorial(k) * factorial(last - k)) for k in range(last + 1)])
-    alone = F.max(F.when(size == last, F.col("removed")))
-    shares = counts.groupBy("part", "filter").agg(alone.alias("unique_fails"), F.sum(F.col("removed") * F.get(times, size)).alias("shapley"))
-    steps = counts.join(shares, ["part", "filter"]).join(F.broadcast(orders(docs.sparkSession)), ["before", "filter"])  # 600 rows
+    w = Window.partitionBy("part", "filter")  # 16 rows, one for each set that may have run before
+    alone, share = F.max(F.when(size == last, F.col("removed"))).over(w), F.sum(F.col("removed") * F.get(times, size)).over(w)
+    counts = counts.withColumns({"unique_fails": alone, "shapley": share})
+    steps = counts.join(F.broadcast(orders(docs.sparkSession)), ["before", "filter"])  # 600 rows
     return steps.select(
         "part", "filter_order", "step", (F.col("n") - F.col("gone")).alias("kept"), "removed", (F.col("fails") - F.col("removed")).alias("redundant"), "unique_fails", "good_lost", "toxic_lost", "shapley"
     )
