@@ -39,12 +39,13 @@ ANCHOR = 96
 CHUNK = 1_000_000
 BUCKET_BYTES = 2_000_000
 MOST_KINDS = 1000
-#: A row of the table is (doc_id, tk): tk tells texts apart that share a doc_id.
-PLACED = "doc_id long, tk int, start long, end long"
+#: A row of the table is (doc_id, tk): tk tells texts apart that share a doc_id, by 64 bits of hash, or by 128 where it is null.
+PLACED = "doc_id long, tk binary, start long, end long"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash("text").alias("tk"), "text")
+    key = F.when(F.col("doc_id").isNull(), F.unhex(F.substring(F.sha2("text", 256), 1, 32))).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64("text")), 16, "0")))
+    return docs.select("doc_id", key.alias("tk"), "text")
 
 
 def _same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -74,7 +75,7 @@ def stretches(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), part.column("doc_id").cast(pa.int64()).take(own), part.column("tk").take(own), pa.array(at)], names=["a", "c", "doc_id", "tk", "at"])
 
     rows = _rows(docs).where(F.octet_length("text") >= length)
-    return rows.mapInArrow(run, "a long, c long, doc_id long, tk int, at long").select("a", "c", F.lit(1).cast("long").alias("n"), "doc_id", "tk", "at")
+    return rows.mapInArrow(run, "a long, c long, doc_id long, tk binary, at long").select("a", "c", F.lit(1).cast("long").alias("n"), "doc_id", "tk", "at")
 
 
 def _with_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def longer(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                 own = pa.array(own)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(c), pa.array(n), part.column("doc_id").take(own), part.column("tk").take(own), pa.array(at)], names=["a", "c", "n", "doc_id", "tk", "at"])
 
-    return _with_texts(docs, asked).mapInArrow(run, "a long, c long, n long, doc_id long, tk int, at long")
+    return _with_texts(docs, asked).mapInArrow(run, "a long, c long, n long, doc_id long, tk binary, at long")
 
 
 def _kinds(found: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +166,7 @@ def _by_transform(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
         start = np.asarray(group["start"])[which] + first
         return pa.table({"doc_id": group["doc_id"].take(which), "tk": group["tk"].take(which), "start": start, "end": start + last - first + length})
 
-    pieces = settle(_with_texts(docs, asked).mapInArrow(cut, "a long, n long, doc_id long, tk int, start long, body binary"))
+    pieces = settle(_with_texts(docs, asked).mapInArrow(cut, "a long, n long, doc_id long, tk binary, start long, body binary"))
     size = pieces.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(1, size // BUCKET_BYTES)
     return settle(pieces.groupBy(F.pmod("a", F.lit(n)).alias("bucket")).applyInArrow(bucket, PLACED))
