@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from seqmill.operators.scans import Fold, cut_at_gaps, scan
 
 
 def smooth_states(samples: DataFrame, key: str, order: str, raw: str, length: int) -> DataFrame:
@@ -48,43 +54,88 @@ def complement_intervals(merged: DataFrame, key: str, low: int, high: int) -> Da
     return head.unionByName(tail).where(F.col("start") <= F.col("end"))
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, point: str) -> DataFrame:
-    """Equi join on the key with the point between start and end (inclusive)."""
-    return points.join(intervals, key).where(F.col(point).between(F.col("start"), F.col("end")))
+#: Length of the stretches into which interval joins cut the axis.
+WIDTH = 1_000
+
+
+def on_axis(rows: DataFrame, start: str, end: str, width: int = WIDTH) -> DataFrame:
+    """``rows`` once for each stretch of ``width`` that [start, end] touches, named ``_at``; none where start > end."""
+    at = lambda c: F.floor(F.col(c) / width)
+    return rows.where(F.col(start) <= F.col(end)).withColumn("_at", F.explode(F.sequence(at(start), at(end))))
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, key: str, point: str, width: int = WIDTH) -> DataFrame:
+    """Points with the intervals of their key that hold them (both ends inclusive).
+
+    Both sides meet on the key and a stretch of the axis, so a hot key spreads over tasks; a point
+    lies in one stretch, so every hit comes once.
+    """
+    met = on_axis(points, point, point, width).join(on_axis(intervals, "start", "end", width), [key, "_at"])
+    return met.where(F.col(point).between(F.col("start"), F.col("end"))).drop("_at")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """Distinct rows with ``_times``, how often each stands there."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("_times"))
+
+
+def _repeated(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
+    """Intervals of ``left`` that overlap one of ``right``: a semi join by key and stretch of the axis.
+
+    A long interval may meet in several stretches; its hits are counted down to one afterwards.
+    """
+    a, b = on_axis(_counted(left), "start", "end", width).alias("a"), on_axis(right.select(key, "start", "end"), "start", "end", width).alias("b")
+    on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a._at") == F.col("b._at")) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end"))
+    return _repeated(a.join(b, on, "left_semi").drop("_at").distinct(), *left.columns)
+
 
+class _Matcher(Fold):
+    """Predictions in order each take the closest free truth; free neighbours are found by path halving."""
 
-def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Intervals of ``left`` that overlap one of ``right``: a semi join."""
-    a, b = left.alias("a"), right.alias("b")
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end")), "left_semi")
+    def __init__(self, tolerance: int) -> None:
+        self.tolerance, self.left, self.right = tolerance, [], []
 
+    def add(self, row: tuple) -> tuple:
+        (self.left if row[1] else self.right).append(row[0])
+        return ()
 
-#: Folds gather a sequence; one of more events than this is no sequence, and raises.
-MOST_EVENTS = 100_000
+    def end(self) -> Iterator[tuple]:
+        truth, n = self.right, len(self.right)
+        before, after = list(range(n + 1)), list(range(n + 1))  # place i stands for truth i - 1 in before, i in after
 
+        def free(link: list[int], i: int) -> int:
+            while link[i] != i:
+                link[i] = link[link[i]]
+                i = link[i]
+            return i
 
-def bounded(array: Column, most: int = MOST_EVENTS) -> Column:
-    """The array of one sequence, or an error where the key is no bounded session."""
-    return F.when(F.size(array) <= most, array).otherwise(F.raise_error(F.lit(f"a sequence of more than {most} events: choose a finer key")))
+        for x in self.left:
+            at = bisect_right(truth, x)
+            i, j = free(before, at) - 1, free(after, at)
+            below, above = (x - truth[i] if i >= 0 else None), (truth[j] - x if j < n else None)
+            take = i if below is not None and (above is None or below <= above) else j if above is not None else None
+            if take is None or abs(truth[take] - x) > self.tolerance:
+                continue
+            if take == i:  # of equal truths the first goes
+                take = free(after, bisect_left(truth, truth[i]))
+            before[take + 1], after[take] = take, take + 1
+            yield x, truth[take], abs(truth[take] - x)
 
 
 def greedy_match(left: DataFrame, right: DataFrame, key: str | list[str], frame: str, tolerance: int) -> DataFrame:
     """Left events in order each take the closest unclaimed right one within the tolerance.
 
-    A fold over one key's events (a bounded session, such as a rally; see ``MOST_EVENTS``). Ties go
-    to the earlier right event; events that share a frame are claimed one by one.
+    Ties go to the earlier right event; events that share a frame are claimed one by one. Events of
+    either side further apart than the tolerance never meet, so a key is cut there and each
+    component is matched in a scan, in time in proportion to its events.
     """
     keys = [key] if isinstance(key, str) else key
-    gather = lambda df, name: df.groupBy(*keys).agg(bounded(F.array_sort(F.collect_list(F.col(frame).cast("long")))).alias(name))
-    both = gather(left, "_a").join(gather(right, "_b"), keys)
-    both = both.withColumn("_b", F.transform("_b", lambda y, i: F.struct(y.alias("y"), i.alias("i"))))
-
-    def step(s: Column, x: Column) -> Column:
-        near = F.filter(s["free"], lambda b: F.abs(b["y"] - x) <= tolerance)
-        best = F.array_min(F.transform(near, lambda b: F.struct(F.abs(b["y"] - x).alias("e"), b["y"].alias("y"), b["i"].alias("i"))))
-        free = F.filter(s["free"], lambda b: best.isNull() | (b["i"] != best["i"]))
-        return F.struct(free.alias("free"), F.when(best.isNull(), s["got"]).otherwise(F.concat(s["got"], F.array(F.struct(x.alias("x"), best["y"].alias("y"))))).alias("got"))
-
-    start = F.struct(F.col("_b").alias("free"), F.array().cast("array<struct<x:bigint,y:bigint>>").alias("got"))
-    got = both.select(*keys, F.explode(F.aggregate("_a", start, step, lambda s: s["got"])).alias("_m"))
-    return got.select(*keys, F.col("_m.x").alias("predicted"), F.col("_m.y").alias("truth"), F.abs(F.col("_m.x") - F.col("_m.y")).alias("error"))
+    side = lambda rows, left: rows.select(*keys, F.col(frame).cast("long").alias("frame_"), F.lit(left).alias("left_"))
+    both = side(left, True).unionByName(side(right, False))
+    parts = cut_at_gaps(both, keys, "frame_", tolerance + 1).select(*keys, "part", "frame_", "left_")
+    schema = StructType([StructField(c, LongType()) for c in ("predicted", "truth", "error")])
+    return scan(parts, [*keys, "part"], ["frame_"], lambda: _Matcher(tolerance), schema).drop("part")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqmill.operators.intervals import points_in_intervals
+from seqmill.operators.intervals import WIDTH, _counted, _repeated, on_axis, points_in_intervals
 
 
 class JoinError(ValueError):
@@ -53,22 +53,30 @@ def disagreeing(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: s
 
 
 def claimed(points: DataFrame, intervals: DataFrame, key: str, point: str, order: str) -> DataFrame:
-    """Points in intervals, each claimed by the first interval (by ``order``) that holds it."""
-    names = points.columns
-    met = points_in_intervals(points, intervals, key, point)
-    return met.groupBy(*names).agg(F.min(F.struct(order, "start", "end")).alias("_first")).select(*names, f"_first.{order}", "_first.start", "_first.end")
+    """Points in intervals, each claimed by the first interval (by ``order``) that holds it.
+
+    Equal points are claimed alike and all come back.
+    """
+    names, span = points.columns, list(dict.fromkeys([order, "start", "end"]))
+    met = points_in_intervals(_counted(points), intervals.select(key, *span), key, point)
+    first = met.groupBy(*names, "_times").agg(F.min(F.struct(*span)).alias("_first"))
+    return _repeated(first.select(*names, "_times", *[f"_first.{c}" for c in span]), *names, *span)
+
+
+def _held(points: DataFrame, intervals: DataFrame, key: str, point: str) -> Column:
+    return (points[key] == intervals[key]) & (points["_at"] == intervals["_at"]) & points[point].between(intervals["start"], intervals["end"])
 
 
 def unclaimed(points: DataFrame, intervals: DataFrame, key: str, point: str) -> DataFrame:
-    """Points that no interval holds."""
-    a, b = points.alias("a"), intervals.alias("b")
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & F.col(f"a.{point}").between(F.col("b.start"), F.col("b.end")), "left_anti")
+    """Points that no interval holds; a point without a place is held by none."""
+    a, b = points.withColumn("_at", F.floor(F.col(point) / WIDTH)), on_axis(intervals.select(key, "start", "end"), "start", "end")
+    return a.join(b, _held(a, b, key, point), "left_anti").drop("_at")
 
 
 def holding(intervals: DataFrame, points: DataFrame, key: str, point: str) -> DataFrame:
-    """Intervals that hold at least one point."""
-    a, b = intervals.alias("a"), points.alias("b")
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & F.col(f"b.{point}").between(F.col("a.start"), F.col("a.end")), "left_semi")
+    """Intervals that hold at least one point; equal intervals all come back."""
+    a, b = on_axis(_counted(intervals), "start", "end"), on_axis(points.select(key, point).distinct(), point, point)
+    return _repeated(a.join(b, _held(b, a, key, point), "left_semi").drop("_at").distinct(), *intervals.columns)
 
 
 def ordinal_join(left: DataFrame, right: DataFrame, keys: list[str], order_left: str, order_right: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from seqmill.operators.intervals import bounded
+from seqmill.operators.scans import Fold, scan
 
 #: Weight of the distance from the middle of a player's half against the area of the box.
 OFF_CENTRE = 10_000.0
@@ -19,40 +23,56 @@ def court_candidates(people: DataFrame, x: str, y: str, box: str, points: str, m
     return people.withColumn("on_court", near).withColumn("area", F.greatest(side(0) * side(1), F.lit(0.0))).withColumn("pose_valid", seen >= least)
 
 
+class _Slots(Fold):
+    """Carries where both players were last seen and the people of the frame being read."""
+
+    def __init__(self, split: float, reach: float, memory: int) -> None:
+        self.split, self.reach, self.memory = split, reach, memory
+        self.last: list[tuple[float, float, int] | None] = [None, None]
+        self.frame, self.people = None, []
+
+    def add(self, row: tuple) -> Iterator[tuple]:
+        frame, x, y, area = row
+        if self.frame is not None and frame != self.frame:
+            yield from self.settle()
+        self.frame = frame
+        if x is not None:
+            self.people.append((x, y, area))
+
+    def end(self) -> Iterator[tuple]:
+        return self.settle() if self.frame is not None else iter(())
+
+    def settle(self) -> Iterator[tuple]:
+        for player in (0, 1):
+            last = self.last[player]
+            known = last is not None and last[2] <= self.memory
+            middle = self.split * 0.5 if player == 0 else self.split + (1 - self.split) * 0.5
+            best = None
+            for x, y, area in self.people:
+                if y is None or (y <= self.split) != (player == 0):
+                    continue
+                cost = math.sqrt((x - last[0]) ** 2 + (y - last[1]) ** 2) if known else abs(y - middle) * OFF_CENTRE - area
+                if best is None or cost < best[0]:
+                    best = (cost, x, y)
+            if best is not None and (not known or best[0] <= self.reach):
+                self.last[player] = (best[1], best[2], 0)
+                yield self.frame, player, best[1], best[2]
+            elif last is not None:
+                self.last[player] = (last[0], last[1], last[2] + 1)
+        self.people = []
+
+
 def two_slots(candidates: DataFrame, keys: list[str], frame: str, x: str, y: str, area: str, split: float, reach: float, memory: int = 10) -> DataFrame:
     """(keys, frame, player, x, y): who stands in the far (0) and the near (1) half in each frame.
 
     A player is the candidate of that half closest to where it was last seen, if within ``reach``;
     after more than ``memory`` frames without it, or at first, the one of largest area near the
     middle of the half. Ties go to the first candidate by place. Frames without anybody are rows
-    with null positions. A fold over one clip's frames (a bounded session).
+    with null positions. A scan that carries both places and one frame's people.
     """
-    person = F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(area).alias("area")))
-    rows = candidates.groupBy(*keys, F.col(frame).cast("long").alias("_f")).agg(F.array_sort(F.collect_list(person)).alias("people"))
-    clips = rows.groupBy(*keys).agg(bounded(F.array_sort(F.collect_list(F.struct(F.col("_f").alias("frame"), "people")))).alias("_frames"))
-    slot = "struct<x:double,y:double,age:int>"
-
-    def pick(people: Column, last: Column, player: int) -> Column:
-        mine = F.filter(people, lambda c: (c["y"] <= split) if player == 0 else (c["y"] > split))
-        middle = split * 0.5 if player == 0 else split + (1 - split) * 0.5
-        far = lambda c: F.sqrt((c["x"] - last["x"]) ** 2 + (c["y"] - last["y"]) ** 2)
-        known = last["age"] <= memory
-        rank = lambda c, i: F.struct(F.when(known, far(c)).otherwise(F.abs(c["y"] - middle) * OFF_CENTRE - c["area"]).alias("cost"), i.alias("i"), c["x"].alias("x"), c["y"].alias("y"))
-        best = F.array_min(F.transform(mine, rank))
-        return F.when(best.isNotNull() & (~known | (best["cost"] <= reach)), best)
-
-    def step(s: Column, f: Column) -> Column:
-        found, slots = [], []
-        for player in (0, 1):
-            last = s[f"slot{player}"]
-            best = pick(f["people"], last, player)
-            found.append(F.when(best.isNotNull(), F.struct(f["frame"].alias("frame"), F.lit(player).alias("player"), best["x"].alias("x"), best["y"].alias("y"))))
-            slots.append(F.when(best.isNull(), F.struct(last["x"].alias("x"), last["y"].alias("y"), (last["age"] + 1).alias("age"))).otherwise(F.struct(best["x"].alias("x"), best["y"].alias("y"), F.lit(0).alias("age"))).alias(f"slot{player}"))
-        return F.struct(*slots, F.concat(s["got"], F.array_compact(F.array(*found))).alias("got"))
-
-    unseen = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), F.lit(memory + 1).alias("age")).cast(slot)
-    start = F.struct(unseen.alias("slot0"), unseen.alias("slot1"), F.array().cast("array<struct<frame:bigint,player:int,x:double,y:double>>").alias("got"))
-    return clips.select(*keys, F.explode(F.aggregate("_frames", start, step, lambda s: s["got"])).alias("_m")).select(*keys, "_m.*")
+    rows = candidates.select(*keys, F.col(frame).cast("long").alias("frame"), *[F.col(c).cast("double").alias(n) for c, n in ((x, "x_"), (y, "y_"), (area, "area_"))])
+    kinds = (("frame", LongType()), ("player", IntegerType()), ("x", DoubleType()), ("y", DoubleType()))
+    return scan(rows, keys, ["frame", "x_", "y_", "area_"], lambda: _Slots(split, reach, memory), StructType([StructField(*k) for k in kinds]))
 
 
 def trajectory_coverage(points: DataFrame, keys: list[str], frame: str, x: str, y: str, visible: Column, width: float, height: float) -> DataFrame:

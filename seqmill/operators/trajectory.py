@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from seqmill.operators.intervals import bounded
+from seqmill.operators.scans import Fold, cut_at_gaps, scan
 
 
 def peaks(points: DataFrame, key: str, order: str, value: str, radius: int, prominence: float) -> DataFrame:
@@ -38,24 +43,84 @@ def interpolate(points: DataFrame, key: str, frame: str, value: str, most: int)
     return points.withColumn("filled", F.coalesce(F.col(value), filled))
 
 
+class _Gate(Fold):
+    """Carries the last point kept: (frame, x, y)."""
+
+    def __init__(self, speed: float, frame_size: tuple[float, float] | None = None, marks: bool = False) -> None:
+        self.speed, self.size, self.marks, self.last = speed, frame_size, marks, None
+
+    def add(self, row: tuple) -> tuple:
+        frame, x, y = row
+        why = None if x is not None and y is not None else "missing"
+        if why is None and self.size and not (0 <= x <= self.size[0] and 0 <= y <= self.size[1]):
+            why = "out_of_frame"
+        if why is None and self.last is not None:
+            gap = frame - self.last[0]
+            gap = max(gap, 1) if self.marks else gap
+            far = math.sqrt((x - self.last[1]) ** 2 + (y - self.last[2]) ** 2)
+            if (far / gap > self.speed) if self.marks else (far > self.speed * gap):
+                why = "jump"
+        if why is None:
+            self.last = (frame, x, y)
+        if self.marks:
+            return ((frame, None if why else x, None if why else y, why is None, why),)
+        return () if why else ((frame, x, y),)
+
+
+def _gated(points: DataFrame, key: str | list[str], frame: str, x: str, y: str, fold, more: tuple[StructField, ...] = ()) -> DataFrame:
+    keys = [key] if isinstance(key, str) else key
+    rows = points.select(*keys, frame, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    return scan(rows, keys, [frame, x, y], fold, StructType([rows.schema[frame], rows.schema[x], rows.schema[y], *more]))
+
+
 def jump_gate(points: DataFrame, key: str | list[str], frame: str, x: str, y: str, speed: float) -> DataFrame:
     """Drop points that move faster than ``speed`` per frame from the last one kept.
 
-    What is kept depends on what was kept before, so one key's points (a bounded group) are folded.
+    What is kept depends on what was kept before: a scan that carries the last point, however long the key.
     """
-    keys = [key] if isinstance(key, str) else key
-    rows = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys)
-    sorted_ = bounded(F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col(x).alias("x"), F.col(y).alias("y")))))
-    far = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) > speed * (p["f"] - q["f"])
-    kept = F.aggregate("_pts", F.slice("_pts", 1, 0), lambda acc, p: F.when((F.size(acc) > 0) & far(p, F.try_element_at(acc, F.lit(-1))), acc).otherwise(F.concat(acc, F.array(p))))
-    return rows.agg(sorted_.alias("_pts")).select(*keys, F.explode(kept).alias("_p")).select(*keys, F.col("_p.f").alias(frame), F.col("_p.x").alias(x), F.col("_p.y").alias(y))
+    return _gated(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), key, frame, x, y, lambda: _Gate(speed))
+
 
+def denoised(points: DataFrame, key: str | list[str], frame: str, x: str, y: str, speed: float, width: float, height: float) -> DataFrame:
+    """Every point with ``visible`` and the ``reason`` it lost its place for: missing, out_of_frame or jump.
 
-def suppress(candidates: DataFrame, key: str | list[str], frame: str, score: str, distance: int) -> DataFrame:
-    """Greedy suppression: highest score first, kept if ``distance`` frames from all kept ones."""
+    A point outside the picture is not seen and is no measure for the next ones; a seen point must
+    not be further than ``speed`` a frame (one frame at least) from the last one that stayed.
+    """
+    more = StructField("visible", BooleanType()), StructField("reason", StringType())
+    return _gated(points, key, frame, x, y, lambda: _Gate(speed, (width, height), True), more)
+
+
+class _Suppressor(Fold):
+    """Candidates of one component; memory holds this component alone."""
+
+    def __init__(self, distance: int | None) -> None:
+        self.distance, self.rows = distance, []
+
+    def add(self, row: tuple) -> tuple:
+        self.rows.append(row)
+        return ()
+
+    def end(self) -> Iterator[tuple]:
+        kept: list = []
+        for row in sorted(self.rows, key=lambda r: (-r[1], r[2], r[0])):
+            distance, frame = self.distance if self.distance is not None else row[3], row[0]
+            at = bisect_left(kept, frame)
+            if (at == len(kept) or kept[at] - frame >= distance) and (at == 0 or frame - kept[at - 1] >= distance):
+                kept.insert(at, frame)
+                yield frame, row[1], *row[4:]
+
+
+def suppress(candidates: DataFrame, key: str | list[str], frame: str, score: str, distance: int | str, tie: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Greedy suppression: highest score first, kept if ``distance`` frames from all kept ones.
+
+    ``distance`` is a number or the name of a key. Ties go by ``tie``, then to the earlier frame;
+    candidates without a score go. ``keep`` names further columns to give back. A key is cut where
+    neighbours lie ``distance`` or more apart, and each component is settled in a scan.
+    """
     keys = [key] if isinstance(key, str) else key
-    ranked = bounded(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(frame).alias("f")))))
-    clear = lambda acc, c: F.forall(acc, lambda k: F.abs(k["f"] - c["f"]) >= distance)
-    kept = F.aggregate("_c", F.slice("_c", 1, 0), lambda acc, c: F.when(clear(acc, c), F.concat(acc, F.array(c))).otherwise(acc))
-    rows = candidates.groupBy(*keys).agg(ranked.alias("_c")).select(*keys, F.explode(kept).alias("_k"))
-    return rows.select(*keys, F.col("_k.f").alias(frame), (-F.col("_k.s")).alias(score))
+    rows = candidates.where(F.col(score).isNotNull()).select(*keys, *dict.fromkeys([frame, score, *keep]), (F.col(tie) if tie else F.lit(0)).alias("tie_"))
+    own = F.lit(None).cast("int") if isinstance(distance, int) else F.col(distance)
+    parts = cut_at_gaps(rows, keys, frame, distance).select(*keys, "part", frame, score, "tie_", own.alias("distance_"), *keep)
+    schema = StructType([parts.schema[c] for c in (frame, score, *keep)])
+    return scan(parts, [*keys, "part"], [frame], lambda: _Suppressor(distance if isinstance(distance, int) else None), schema).drop("part")
