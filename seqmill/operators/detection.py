@@ -2,7 +2,7 @@
 
 One sorted pass over a trajectory measures what every detector looks at; each candidate of a grid
 is then a row of thresholds. Candidates that share a detector's parameters share its suppressed
-events.
+events. A key is one trajectory (a rally): bounded, as the windows over it are.
 """
 
 from __future__ import annotations
@@ -95,9 +95,9 @@ def detect(points: DataFrame, keys: list[str], frame: str, x: str, y: str, candi
     shared = {("distance", "prominence", "radius"): peaks, ("distance", "angle", "step"): kinks}
     met = one(serves, ["slope"]).join(table, "slope").select(*keys, "candidate", "distance", "frame", "score", "reason", "tie")
     for names, found in shared.items():
-        kept = suppress(one(found, names), [*keys, *names], "frame", "score", "distance", keep=("reason", "tie"))
+        kept = suppress(one(found, names), [*keys, *names], "frame", "score", "distance", keep=("reason", "tie"), width=None)
         met = met.unionByName(kept.join(table, list(names)).select(*keys, "candidate", "distance", "frame", "score", "reason", "tie"))
-    return suppress(met, [*keys, "candidate", "distance"], "frame", "score", "distance", "tie", ("reason",)).drop("distance")
+    return suppress(met, [*keys, "candidate", "distance"], "frame", "score", "distance", "tie", ("reason",), None).drop("distance")
 
 
 def search(points: DataFrame, truths: DataFrame, keys: list[str], frame: str, x: str, y: str, candidates: list[Candidate], tolerance: int, split: str | None = None) -> DataFrame:
@@ -111,7 +111,7 @@ def search(points: DataFrame, truths: DataFrame, keys: list[str], frame: str, x:
     ids = F.array(*[F.lit(c.candidate) for c in candidates])
     events = detect(points, keys, frame, x, y, candidates).select("candidate", *keys, "frame")
     real = truths.join(units, keys, "left_semi").select(F.explode(ids).alias("candidate"), *keys, F.col(frame).cast("long").alias("frame"))
-    matches = greedy_match(events, real, ["candidate", *keys], "frame", tolerance)
+    matches = greedy_match(events, real, ["candidate", *keys], "frame", tolerance, None)
     none = F.lit(0).cast("long")
     count = lambda rows, name, error=None: rows.groupBy(*by).agg(F.count("*").alias(name), (F.sum(error) if error else none).alias(f"{name}_error"))
     out = units.select(F.explode(ids).alias("candidate"), *keys).groupBy(*by).agg(F.count("*").alias("rally_count"))

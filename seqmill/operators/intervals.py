@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from seqmill.operators.scans import Fold, cut_at_gaps, scan
+from seqmill.operators.scans import BUCKET, Fold, cut_at_gaps, scan
 
 
 def smooth_states(samples: DataFrame, key: str, order: str, raw: str, length: int) -> DataFrame:
@@ -126,16 +126,16 @@ class _Matcher(Fold):
             yield x, truth[take], abs(truth[take] - x)
 
 
-def greedy_match(left: DataFrame, right: DataFrame, key: str | list[str], frame: str, tolerance: int) -> DataFrame:
+def greedy_match(left: DataFrame, right: DataFrame, key: str | list[str], frame: str, tolerance: int, width: int | None = BUCKET) -> DataFrame:
     """Left events in order each take the closest unclaimed right one within the tolerance.
 
     Ties go to the earlier right event; events that share a frame are claimed one by one. Events of
     either side further apart than the tolerance never meet, so a key is cut there and each
-    component is matched in a scan, in time in proportion to its events.
+    component is matched in a scan, in time in proportion to its events. ``width`` is that of ``cut_at_gaps``.
     """
     keys = [key] if isinstance(key, str) else key
     side = lambda rows, left: rows.select(*keys, F.col(frame).cast("long").alias("frame_"), F.lit(left).alias("left_"))
     both = side(left, True).unionByName(side(right, False))
-    parts = cut_at_gaps(both, keys, "frame_", tolerance + 1).select(*keys, "part", "frame_", "left_")
+    parts = cut_at_gaps(both, keys, "frame_", tolerance + 1, width).select(*keys, "part", "frame_", "left_")
     schema = StructType([StructField(c, LongType()) for c in ("predicted", "truth", "error")])
     return scan(parts, [*keys, "part"], ["frame_"], lambda: _Matcher(tolerance), schema).drop("part")

@@ -9,6 +9,7 @@ own, so that a hot key spreads over tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
@@ -66,32 +67,28 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[],
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
 
 
-def same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    out = F.lit(True)
-    for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
-
-
-def cut_at_gaps(rows: DataFrame, keys: list[str], order: str, gap: int | str, width: int = BUCKET) -> DataFrame:
+def cut_at_gaps(rows: DataFrame, keys: list[str], order: str, gap: int | str, width: int | None = BUCKET) -> DataFrame:
     """Adds ``part``: the first ``order`` of the row's component; a new one begins where the step is ``gap`` or more.
 
     ``gap`` is a number or one of the keys. Neighbours are sought within buckets of ``width``; only
-    one row for each bucket is looked at by key, so a long key is not sorted in one task. Rows
-    without an ``order`` go.
+    one row for each bucket is looked at by key, so a long key is not sorted in one task. Where
+    keys are bounded sessions, None as ``width`` takes a single window. Rows without an ``order`` go.
     """
     step = F.lit(gap) if isinstance(gap, int) else F.col(gap)
-    rows = rows.where(F.col(order).isNotNull()).withColumn("_bucket", F.floor(F.col(order) / width))
+    names, rows = rows.columns, rows.where(F.col(order).isNotNull())
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        opens = F.coalesce(F.col(order) - F.lag(order).over(w) >= step, F.lit(True))
+        return rows.withColumn("_opens", F.when(opens, F.col(order))).withColumn("part", F.last("_opens", True).over(w)).select(*names, "part")
     own = [*keys, "_bucket"]
     inside, by_bucket = Window.partitionBy(*own).orderBy(order), Window.partitionBy(*keys).orderBy("_bucket")
-    edges = rows.groupBy(*own).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_bucket", F.floor(F.col(order) / width)).withColumn("_before", F.lag(order).over(inside))
+    rows = rows.withColumn("_begun", F.last(F.when(F.col(order) - F.col("_before") >= step, F.col(order)), True).over(inside))
+    rows = rows.withColumns({"_high": F.max(order).over(whole), "_last": F.max("_begun").over(whole)})
+    edges = rows.where("_before IS NULL").select(*own, F.col(order).alias("_low"), "_high", "_last")
     edges = edges.withColumn("_opens", F.coalesce(F.col("_low") - F.lag("_high").over(by_bucket) >= step, F.lit(True)))
-    rows = rows.withColumn("_starts", F.col(order) - F.lag(order).over(inside) >= step)
-    last = rows.where("_starts").groupBy(*own).agg(F.max(order).alias("_last"))
-    edges = edges.join(last, same(edges, last, own), "left").select(*[edges[c] for c in (*own, "_low", "_opens")], "_last")
-    carried = F.last(F.coalesce("_last", F.when(F.col("_opens"), F.col("_low"))), True)
-    edges = edges.withColumn("_carried", F.when(F.col("_opens"), F.col("_low")).otherwise(carried.over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))))
-    begun = F.last(F.when(F.col("_starts"), F.col(order)), True).over(inside)
-    rows = rows.withColumn("_begun", begun)
-    edges = edges.select(*own, "_carried")
-    return rows.join(edges, same(rows, edges, own)).select(*[rows[c] for c in rows.columns if not c.startswith("_")], F.coalesce("_begun", "_carried").alias("part"))
+    carried = F.last(F.coalesce("_last", F.when(F.col("_opens"), F.col("_low"))), True).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select(*[F.col(c).alias(f"_own{i}") for i, c in enumerate(own)], F.when(F.col("_opens"), F.col("_low")).otherwise(carried).alias("_carried"))
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_own{i}")) for i, c in enumerate(own)])
+    return rows.join(edges, on).select(*names, F.coalesce("_begun", "_carried").alias("part"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from seqmill.operators.scans import Fold, cut_at_gaps, scan
+from seqmill.operators.scans import BUCKET, Fold, cut_at_gaps, scan
 
 
 def peaks(points: DataFrame, key: str, order: str, value: str, radius: int, prominence: float) -> DataFrame:
@@ -111,16 +111,17 @@ class _Suppressor(Fold):
                 yield frame, row[1], *row[4:]
 
 
-def suppress(candidates: DataFrame, key: str | list[str], frame: str, score: str, distance: int | str, tie: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def suppress(candidates: DataFrame, key: str | list[str], frame: str, score: str, distance: int | str, tie: str | None = None, keep: tuple[str, ...] = (), width: int | None = BUCKET) -> DataFrame:
     """Greedy suppression: highest score first, kept if ``distance`` frames from all kept ones.
 
     ``distance`` is a number or the name of a key. Ties go by ``tie``, then to the earlier frame;
     candidates without a score go. ``keep`` names further columns to give back. A key is cut where
-    neighbours lie ``distance`` or more apart, and each component is settled in a scan.
+    neighbours lie ``distance`` or more apart, and each component is settled in a scan. ``width``
+    is that of ``cut_at_gaps``.
     """
     keys = [key] if isinstance(key, str) else key
     rows = candidates.where(F.col(score).isNotNull()).select(*keys, *dict.fromkeys([frame, score, *keep]), (F.col(tie) if tie else F.lit(0)).alias("tie_"))
     own = F.lit(None).cast("int") if isinstance(distance, int) else F.col(distance)
-    parts = cut_at_gaps(rows, keys, frame, distance).select(*keys, "part", frame, score, "tie_", own.alias("distance_"), *keep)
+    parts = cut_at_gaps(rows, keys, frame, distance, width).select(*keys, "part", frame, score, "tie_", own.alias("distance_"), *keep)
     schema = StructType([parts.schema[c] for c in (frame, score, *keep)])
     return scan(parts, [*keys, "part"], [frame], lambda: _Suppressor(distance if isinstance(distance, int) else None), schema).drop("part")

@@ -29,9 +29,9 @@ def loop_suppress(rows, distance):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("width", [7, 100_000])
+@pytest.mark.parametrize("width", [7, 100_000, None])
 def test_components_equal_a_loop(spark, width):
-    rng = random.Random(width)
+    rng = random.Random(width or 1)
     rows = [(k, rng.randrange(-200, 400)) for k in (1, 2, None) for _ in range(120)] + [(3, None), (4, 5), (4, 5)]
     out = scans.cut_at_gaps(spark.createDataFrame(rows, "k int, f int").repartition(3), ["k"], "f", 6, width).collect()
     want = []
