@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqmill import functions as fn
-from seqmill.operators import intervals, joins, measures, moments, scores, sequences, summaries, units
+from seqmill.operators import clusterings, intervals, joins, measures, moments, scores, sequences, summaries, units
 from seqmill.plans.base import JUDGED, LOG, SPANS, STATES, judged, log, spans, table
 
 
@@ -334,6 +334,31 @@ def cluster_sweep(spark, sf_dir):
     return units.kmeans_sweep(table(spark, sf_dir, "embeddings").select("embedding"), "embedding", [2, 3, 4], starts=2)
 
 
+def _nation_units(spark, sf_dir):
+    """(nation, region, profile): what a nation's customers order; 25 units at any size of the tables."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice", (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
+    own = orders.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), "c_custkey").groupBy("c_nationkey")
+    profile = F.array(F.avg("o_totalprice") / 10000, F.avg("urgent") * 10, F.avg("c_acctbal") / 1000, F.stddev_pop("o_totalprice") / 10000)
+    nations = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"))  # 25 rows by definition
+    return own.agg(profile.alias("profile")).join(nations, "c_nationkey").select(F.col("c_nationkey").alias("nation"), F.col("n_regionkey").alias("region"), "profile")
+
+
+def cluster_search(spark, sf_dir):
+    """k from 2 to 8 with 50 starts, and 100 resamples of 20 starts each."""
+    out = clusterings.sweep(_nation_units(spark, sf_dir), "nation", "profile", [2, 3, 4, 5, 6, 7, 8])
+    return out.withColumns({c: F.round(c, 6) for c in ("silhouette", "mean_ari", "std_ari")})
+
+
+def best_clustering(spark, sf_dir):
+    return clusterings.choose(cluster_search(spark, sf_dir))
+
+
+def label_silhouette(spark, sf_dir):
+    """How well regions part the profiles of their nations."""
+    u = _nation_units(spark, sf_dir).select(F.col("nation").cast("long").alias("id"), F.col("profile").alias("vector"), F.col("region").cast("int").alias("cluster"))
+    return clusterings.silhouettes(u.select("id", "vector"), u.select("id", F.lit(0).alias("k"), "cluster")).select(F.round("silhouette", 6).alias("silhouette"))
+
+
 def chosen_clusters(spark, sf_dir):
     return units.clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 3).groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -355,7 +380,7 @@ _ALL = (
     contract_checks, feature_correlations, correlation_intervals, binary_scores, macro_scores, micro_scores, parameter_sweep, best_parameters, join_accounting, three_way_lineage, long_bouts,
     default_ids, problem_rows, disagreeing_keys, claimed_points, unclaimed_points, holding_spans, ordinal_pairs, reference_errors, raw_ngrams, context_windows, serve_moments, gap_recovery,
     activity_spans, rest_spans, strongest_states, dearest_orders, structured_order, vocabulary, motif_agreement, rank_correlation, unigram_baseline, baseline_errors, feature_fidelity,
-    split_counts, split_overlap, common_units, tier_counts, scalar_rules, interval_reasons, rotated_positions, supported_rallies, active_features, cluster_sweep, chosen_clusters, principal_axes, natural_join,
+    split_counts, split_overlap, common_units, tier_counts, scalar_rules, interval_reasons, rotated_positions, supported_rallies, active_features, cluster_sweep, cluster_search, best_clustering, label_silhouette, chosen_clusters, principal_axes, natural_join,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -391,6 +416,10 @@ def _motif_sql(odd):
 
 
 ORACLE_SQL: dict[str, str] = {
+    "label_silhouette": """WITH u AS (SELECT c_nationkey AS id, any_value(n_regionkey) AS c, [avg(o_totalprice) / 10000, avg(CAST(o_orderpriority = '1-URGENT' AS INTEGER)) * 10, avg(c_acctbal) / 1000, stddev_pop(o_totalprice) / 10000] AS v
+            FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey),
+        d AS (SELECT a.id, a.c AS own, b.c AS c, avg(list_distance(a.v, b.v)) AS m FROM u a JOIN u b ON a.id <> b.id GROUP BY a.id, a.c, b.c),
+        s AS (SELECT id, max(m) FILTER (c = own) AS a, min(m) FILTER (c <> own) AS b FROM d GROUP BY id) SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""",
     "rally_summary": f"""WITH {_B}, o AS (SELECT *, CASE WHEN token = 'purchase' THEN CASE WHEN value > 100 THEN 'won' ELSE 'lost' END END AS o FROM b)
         SELECT rally, bout, count(*) AS n_events, arg_min(token, rank) AS first_token, arg_max(token, rank) AS last_token, arg_max(o, rank) FILTER (o IS NOT NULL) AS outcome FROM o GROUP BY rally, bout""",
     "set_summary": f"WITH {_B} SELECT rally, count(*) AS n_rows, count(DISTINCT bout) AS n_bout, count(DISTINCT token) AS n_token FROM b GROUP BY rally",
