@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -93,6 +93,15 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, width: int = WIDTH)
     return _repeated(a.join(b, on, "left_semi").drop("_at").distinct(), *left.columns)
 
 
+#: An array that holds a whole sequence is no place for more events than this; scans have no such bound.
+MOST_EVENTS = 100_000
+
+
+def bounded(array: Column, most: int = MOST_EVENTS) -> Column:
+    """The array of one sequence, or an error where the key is no bounded session: for folds of a caller's own."""
+    return F.when(F.size(array) <= most, array).otherwise(F.raise_error(F.lit(f"a sequence of more than {most} events: choose a finer key")))
+
+
 class _Matcher(Fold):
     """Predictions in order each take the closest free truth; free neighbours are found by path halving."""
 
