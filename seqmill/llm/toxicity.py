@@ -7,6 +7,8 @@ in total and by length of the text, and a two-feature logistic fit maps both to
 
 Learning uses at most ``max_rows`` labelled rows (smallest hash of doc_id), never held-out ones.
 Only the lexicon (at most ``max_terms`` entries, and as many exceptions) reaches the executors.
+Terms come from the 6 * ``max_terms`` candidates of largest support times log-odds in that sample, and a
+term must help one toxic row in 300 (two at least): bounds on what is learnt, never on what is scored.
 
 Defined cases: null, empty or wordless text scores as no match; without labels of both kinds
 the lexicon is empty and every score is 0; rows are scored one by one, so repeated rows score
