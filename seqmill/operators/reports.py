@@ -136,6 +136,9 @@ def bootstrap_stability(rows: DataFrame, vector: str, k: int, repeats: int = 100
     return scores.agg(F.lit(k).alias("k"), F.count("*").alias("fits"), F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"))
 
 
+# The status texts below are fixed values of the reports.
+
+
 def sample_status(positive: Column, negative: Column) -> Column:
     """Whether a video gave images of both kinds."""
     return F.when((positive > 0) & (negative > 0), "ok").when(positive > 0, "missing_negative_images").when(negative > 0, "missing_positive_images").otherwise("decode_or_write_failed")
