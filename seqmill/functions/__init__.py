@@ -49,6 +49,32 @@ def translated(c: Column, words: dict[str, str], default: str | None = None) ->
     return F.coalesce(F.try_element_at(pairs, c), c if default is None else F.lit(default))
 
 
+# The strokes in the order of the classes.
+STROKES = ["net shot", "return net", "smash", "lob", "clear", "drive", "drop", "push", "rush", "cross-court net shot", "short service", "long service"]
+#: The 25 classes; a label's place is its code.
+LABELS = ["none", *[f"{side}_{stroke}" for side in ("Top", "Bottom") for stroke in STROKES]]
+
+
+def label_code(label: Column, labels: list[str] = LABELS) -> Column:
+    """Place of a label in the ordered dictionary, from 0; -1 where it isn't in there."""
+    return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in labels]), label).cast("int") - 1, F.lit(-1))
+
+
+def label_of(code: Column, labels: list[str] = LABELS) -> Column:
+    """Label of a code; null outside the dictionary."""
+    return F.when(code >= 0, F.get(F.array(*[F.lit(x) for x in labels]), code.cast("int")))
+
+
+def unaliased(source: Column) -> Column:
+    """True where a row's features are its own: no alias source, or an empty one."""
+    return F.coalesce(source.cast("string"), F.lit("")) == ""
+
+
+def in_shard(index: Column, workers: int, worker: int) -> Column:
+    """Whether a row numbered from 0 belongs to one of ``workers`` equal shards."""
+    return F.pmod(index, F.lit(workers)) == worker
+
+
 def id_ranges(spec: str) -> list[tuple[int, int]]:
     """Inclusive ranges of "1-34,40"; blanks between are fine, anything else raises."""
     out = []

@@ -80,6 +80,22 @@ def event_windows(events: DataFrame, key: str, frame: str, start: str, end: str)
     return events.select(key, frame, lo.alias("window_start"), hi.alias("window_end"), before.alias("prev_event"), after.alias("next_event"))
 
 
+def clamped_windows(events: DataFrame, key: str, frame: str, start: str, end: str, context: int) -> DataFrame:
+    """Ranks, midpoint windows and contexts of ``context`` frames on both sides, which end where the key's interval does.
+
+    Places in the interval count from its start, where windows never begin before zero.
+    """
+    at, low, high = F.col(frame), F.col(start), F.col(end)
+    w = Window.partitionBy(key).orderBy(frame)
+    before, after = F.lag(frame).over(w), F.lead(frame).over(w)
+    rows = events.select(
+        key, frame, start, F.row_number().over(w).cast("long").alias("event_rank"), F.coalesce(F.bround((before + at) / 2).cast("long"), low).alias("window_start"), F.coalesce(F.bround((at + after) / 2).cast("long"), high).alias("window_end"),
+        F.greatest(low, at - context).alias("context_start"), F.least(high, at + context).alias("context_end"), before.alias("prev_event"), after.alias("next_event"),
+    )
+    local = lambda c: F.greatest(F.col(c) - F.col(start), F.lit(0))
+    return rows.withColumns({"event_local": F.col(frame) - F.col(start), "window_start_local": local("window_start"), "window_end_local": local("window_end")}).drop(start)
+
+
 def average_ranks(rows: DataFrame, value: str, by: str) -> DataFrame:
     """Ascending rank within ``by``; ties share their mean rank."""
     w = Window.partitionBy(by).orderBy(value)

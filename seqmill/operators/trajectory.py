@@ -125,3 +125,22 @@ def suppress(candidates: DataFrame, key: str | list[str], frame: str, score: str
     parts = cut_at_gaps(rows, keys, frame, distance, width).select(*keys, "part", frame, score, "tie_", own.alias("distance_"), *keep)
     schema = StructType([parts.schema[c] for c in (frame, score, *keep)])
     return scan(parts, [*keys, "part"], [frame], lambda: _Suppressor(distance if isinstance(distance, int) else None), schema).drop("part")
+
+
+def trails(points: DataFrame, keys: list[str], frame: str, x: str, y: str, length: int, visible: str | None = None, width: int = BUCKET) -> DataFrame:
+    """Per row: the seen points of the last ``length`` frames and its own, as an array of (frame, x, y) in order.
+
+    A trail reaches back by frames, not rows, so gaps shorten it. Points that are not visible, or not right of and below
+    zero, are in no trail. Rows of one frame see each other. The axis is cut into buckets of
+    ``width`` frames and a bucket's last points are copied into the next, so a long key spreads over tasks.
+    Rows without a frame go; null keys are one key.
+    """
+    if not 0 <= length < width:
+        raise ValueError("a trail is shorter than a bucket")
+    seen = (F.col(x) > 0) & (F.col(y) > 0) & (F.lit(True) if visible is None else F.col(visible))
+    at = F.floor(F.col(frame) / width)
+    copies = F.when(F.col(frame) >= (at + 1) * width - length, F.array(at, at + 1)).otherwise(F.array(at))
+    rows = points.where(F.col(frame).isNotNull()).withColumn("_own", at).withColumn("_bucket", F.explode(copies))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(frame).rangeBetween(-length, 0)
+    point = F.when(seen, F.struct(F.col(frame).alias("frame"), F.col(x).alias("x"), F.col(y).alias("y")))
+    return rows.withColumn("trail", F.array_sort(F.collect_list(point).over(w))).where("_own = _bucket").drop("_own", "_bucket")

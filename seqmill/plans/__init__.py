@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seqmill import functions as fn
 from seqmill import streaming
 from seqmill.operators import intervals, measures, sequences, trajectory
-from seqmill.plans import detectors, runs, shapes, tables
+from seqmill.plans import detectors, frames, runs, shapes, tables
 from seqmill.plans.base import JUDGED, LOG, SPANS, STATES, judged, log, spans
 
 FLAGSHIP = "transition_matrix"
@@ -215,7 +215,7 @@ _ALL = (
     peak_suppression, composition_gap, transition_distance, class_report, overlapping_group_accuracy, label_weights, quality_profile, duplicate_keys, occupancy, false_discovery,
     rand_agreement, top_classes, standard_scores, centroid_distances, binned_accuracy, order_star_join, customers_without_orders, hourly_counts, user_sessions,
 )
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL} | tables.QUERIES | shapes.QUERIES | runs.QUERIES | detectors.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL} | tables.QUERIES | shapes.QUERIES | runs.QUERIES | detectors.QUERIES | frames.QUERIES
 
 _PAIRS = "p AS (SELECT rally, token AS cur, lead(token) OVER (PARTITION BY rally ORDER BY rank) AS nxt FROM s)"
 _IN = "('click', 'purchase', 'signup', 'view')"
@@ -327,4 +327,4 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL SELECT r.rally, r.bout, o.i, o.rank, o.value, g.ok, CASE WHEN g.ok THEN list_append(r.kept, o.rank) ELSE r.kept END
             FROM r JOIN o ON o.rally = r.rally AND o.bout = r.bout AND o.i = r.i + 1, LATERAL (SELECT len(list_filter(r.kept, lambda k: abs(k - o.rank) < 4)) = 0 AS ok) g)
         SELECT rally, bout, rank, value FROM r WHERE ok""",
-} | tables.ORACLE_SQL | shapes.ORACLE_SQL | runs.ORACLE_SQL | detectors.ORACLE_SQL
+} | tables.ORACLE_SQL | shapes.ORACLE_SQL | runs.ORACLE_SQL | detectors.ORACLE_SQL | frames.ORACLE_SQL
