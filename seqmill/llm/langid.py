@@ -2,7 +2,8 @@
 
 Evidence: hashed byte trigrams of the visible text (naive Bayes, fitted on a bounded sample of
 labelled documents), the language the markup declares, the suffix of the address, and the
-host. How far a declaration can be trusted, and the priors of suffixes and hosts, come from the
+host. Comments, scripts and style sheets are no text and declare nothing; declared is the ``lang`` of
+the html tag, else its ``xml:lang``, else a content-language meta tag. How far a declaration can be trusted, and the priors of suffixes and hosts, come from the
 text posteriors of all pages by grouped aggregation; a host's prior is smoothed towards its
 suffix's, and that towards the whole.
 
@@ -18,12 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmill.llm.common import chunks, settle, text_bytes
 
 BUCKETS = 1 << 14
+#: Comments, scripts and style sheets; one that is not closed takes all that follows. Each match ends, so time is linear.
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+(?:>.*?(?:</\1\b[^>]*+(?:>|\z)|\z)|\z)"
+#: A language code of two or three letters as the value of an attribute.
+_CODE = r"""\s*=\s*["']?\s*([a-z]{2,3})(?![a-z])"""
 #: Trigrams of a text count as at most this many independent ones.
 EVIDENCE = 60.0
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,6 +81,14 @@ def fit(documents: DataFrame, max_rows: int = 4_000) -> tuple[list[str], np.ndar
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
+def declared_language(html: str) -> Column:
+    """The language that a page declares for itself; null for none."""
+    root = F.regexp_extract(html, r"(?is)<html\b([^<>]*)", 1)
+    meta = F.regexp_extract(html, r"""(?is)<meta\b([^<>]*\bhttp-equiv\s*=\s*["']?\s*content-language\b[^<>]*)""", 1)
+    found = [F.regexp_extract(tag, rf"""(?is)(?:^|[\s"'/]){name}{_CODE}""", 1) for tag, name in ((root, "lang"), (root, "xml:lang"), (meta, "content"))]
+    return F.lower(F.coalesce(*[F.nullif(f, F.lit("")) for f in found]))
+
+
 def evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """Per page: page_id, host, suffix, declared, ll (log-likelihood of the text by language)."""
     held = pages.sparkSession.sparkContext.broadcast(model)  # languages of the sample x BUCKETS doubles
@@ -93,8 +106,8 @@ def evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), *(part.column(c) for c in ("host", "suffix", "declared")), flat], names=["page_id", "host", "suffix", "declared", "ll"])
 
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1))
-    rows = pages.select("page_id", "html", F.nullif(host, F.lit("")).alias("host"), F.nullif(declared, F.lit("")).alias("declared"))
+    rows = pages.select("page_id", F.nullif(host, F.lit("")).alias("host"), F.regexp_replace("html", HIDDEN, " ").alias("html"))
+    rows = rows.select("page_id", "html", "host", declared_language("html").alias("declared"))
     rows = rows.withColumn("suffix", F.substring_index("host", ".", -1))
     return rows.mapInArrow(run, "page_id long, host string, suffix string, declared string, ll array<double>")
 

@@ -91,22 +91,27 @@ def passes(policy: str = CURRENT, failed: str = "failed") -> Column:
     return F.col(failed).bitwiseAND(F.lit(mask(policy))) == 0
 
 
-def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """Per rule of the policy: documents failing it, failing nothing else, and kept without it."""
-    m, names = mask(policy), list(RULES)
-    failed = F.col("failed").bitwiseAND(F.lit(m))
+def ablations(book: DataFrame, *policies: str) -> DataFrame:
+    """Per policy version (the current one unless named) and rule of it: documents that fail it, that fail
+    nothing else, and that are kept without it; n_kept under the whole policy; the bits seen in the ledger.
+
+    All versions come from one bitwise aggregation; an empty ledger gives zeros.
+    """
+    names, failed = list(RULES), F.col("failed")
     rows = []
-    for r in POLICIES[policy]:
-        bit = 1 << names.index(r)
-        rows += [
-            F.struct(
-                F.lit(r).alias("rule"),
-                F.sum(F.when(failed.bitwiseAND(F.lit(bit)) != 0, 1).otherwise(0)).alias("n_failed"),
-                F.sum(F.when(failed == bit, 1).otherwise(0)).alias("n_only"),
-                F.sum(F.when(failed.bitwiseAND(F.lit(m ^ bit)) == 0, 1).otherwise(0)).alias("n_kept_without"),
-            )
-        ]
-    return book.agg(F.array(*rows).alias("r"), F.bit_or("failed").alias("bits_seen")).select(F.explode("r").alias("r"), "bits_seen").select("r.*", "bits_seen")
+    for policy in policies or (CURRENT,):
+        m = mask(policy)
+        for rule in POLICIES[policy]:
+            bit = 1 << names.index(rule)
+            of = failed.bitwiseAND(F.lit(m))
+            rows += [
+                F.struct(
+                    F.lit(policy).alias("policy"), F.lit(rule).alias("rule"), F.count_if(of.bitwiseAND(F.lit(bit)) != 0).alias("n_failed"), F.count_if(of == bit).alias("n_only"),
+                    F.count_if(of.bitwiseAND(F.lit(m ^ bit)) == 0).alias("n_kept_without"), F.count_if(of == 0).alias("n_kept"),
+                )
+            ]
+    seen = book.agg(F.array(*rows).alias("r"), F.coalesce(F.bit_or("failed"), F.lit(0)).cast("long").alias("bits_seen"))
+    return seen.select(F.explode("r").alias("r"), "bits_seen").select("r.*", "bits_seen")
 
 
 def verdicts(docs: DataFrame, policy: str = CURRENT) -> DataFrame:

@@ -30,6 +30,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version removes, from the ledger of op5."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents"), "text", "doc_id"), *quality.POLICIES)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substrings, op2_decontaminate, op3_language, op4_packing, op5_quality, op6_toxicity, op7_near, op8_suffixes, op9_html, op10_lines, op11_alignment, op12_urls, op13_audit,
+        quality_ablations,
     )
 }
 
@@ -75,6 +81,18 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _TRIM = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_LEDGER = rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+        l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE {_TRIM} <> ''),
+        ls AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
+        k AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 2)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM k) WHERE c > 1) GROUP BY doc_id),
+        m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+            FROM d LEFT JOIN ls USING (doc_id) LEFT JOIN r USING (doc_id)),
+        f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
+                + (CASE WHEN n_lines > 0 AND 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END) AS BIGINT) AS failed_bits FROM m)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_substrings": f"""
@@ -98,19 +116,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
             sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
-    "op5_quality": rf"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
-        l AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE {_TRIM} <> ''),
-        ls AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY doc_id),
-        k AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
-        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 2)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM k) WHERE c > 1) GROUP BY doc_id),
-        m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-                CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-                CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
-            FROM d LEFT JOIN ls USING (doc_id) LEFT JOIN r USING (doc_id)),
-        f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
-                + (CASE WHEN n_lines > 0 AND 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END) AS BIGINT) AS failed_bits FROM m)
+    "op5_quality": f"""{_LEDGER}
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits % 4 > 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f""",
+    "quality_ablations": f"""{_LEDGER},
+        v(policy, m) AS (VALUES ('base', 3), ('2024-1', 7), ('2024-2', 31)), x(rule, bit) AS (VALUES ('short', 1), ('repetitive', 2), ('symbol_heavy', 4), ('duplicate_lines', 8), ('word_length', 16)),
+        q AS (SELECT policy, rule, m, bit FROM v, x WHERE m & bit > 0)
+        SELECT policy, rule, count(*) FILTER (failed_bits & bit > 0) AS n_failed, count(*) FILTER (failed_bits & m = bit) AS n_only, count(*) FILTER (failed_bits & (m - bit) = 0) AS n_kept_without,
+            count(*) FILTER (failed_bits & m = 0) AS n_kept, CAST(bit_or(failed_bits) AS BIGINT) AS bits_seen FROM f, q GROUP BY policy, rule""",
     "op7_near": f"""
         WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0)),

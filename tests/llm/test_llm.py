@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from oracle import same
+from pyspark.sql import functions as F
 
 from seqmill.llm import decontaminate, html, langid, lines, near, packing, quality, queries, substrings, suffixes, toxicity
 from seqmill.llm.bwt import repeated
@@ -267,10 +269,58 @@ def test_language_fusion_equals_a_plain_sum(spark):
         assert (got[i].lang, got[i].confidence) == (langs[int(score.argmax())], pytest.approx((p / p.sum()).max(), abs=1e-4))
 
 
+def test_trigram_likelihood_equals_a_plain_count(spark):
+    """The fit and the likelihood of visible bytes against dictionaries; scripts, styles and comments are no text."""
+    rng = random.Random(9)
+    texts = {lang: [" ".join("".join(rng.choices(letters, k=5)) for _ in range(30)) for _ in range(4)] for lang, letters in (("aa", "abcdé"), ("bb", "CDEfg"))}
+    docs = docs_of(spark, []).union(spark.createDataFrame([(i, t, lang, "s", 1, 1, "", "") for i, (lang, t) in enumerate((k, t) for k, v in texts.items() for t in v)], SCHEMA))
+    hidden = ["<script>bbbbb < ccc</script >", "<STYLE a=b>.x{dddd}</style>", "<!-- eeee > ffff -->", "<script src='x'>ggg"]
+    shown = ["abcab", "Éfgfg <b>ddd</b>", "", "cdefg " * 40]
+    pages = [(i, f"http://h{i}.xx/", hidden[i % 3] + t + hidden[(i + 1) % 4]) for i, t in enumerate(shown)] + [(8, None, None), (9, "", "<script" * 20_000), (10, "", "<!--" * 20_000)]
+    langs, model = langid.fit(docs)
+    assert langs == ["aa", "bb"]
+    lower = bytes(b + 32 if 65 <= b < 91 else b for b in range(256))
+
+    def buckets(raw):
+        d = raw.translate(lower)
+        return [((d[i] << 16 | d[i + 1] << 8 | d[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(d) - 2)]
+
+    tables = []
+    for lang in langs:
+        n = [0.5] * langid.BUCKETS
+        for t in texts[lang]:
+            for b in buckets(t.encode()):
+                n[b] += 1
+        tables.append([math.log(x / sum(n)) for x in n])
+    np.testing.assert_allclose(model, tables)
+    got = {r.page_id: r.ll for r in langid.evidence(spark.createDataFrame(pages, "page_id long, url string, html string"), langs, model).collect()}
+    for i, t in enumerate(shown):
+        own = buckets((" " + re.sub("<[^>]*>", "", t) + " ").encode())
+        ll = [sum(table[b] for b in own) * min(len(own), langid.EVIDENCE) / max(len(own), 1) for table in tables]
+        assert got[i] == pytest.approx([x - max(ll) for x in ll], abs=1e-6)
+    assert got[8] == got[9] == got[10] == [0.0, 0.0]
+
+
+@pytest.mark.parametrize(
+    ("html_", "want"),
+    [
+        ("<html lang=de>", "de"), ("<HTML class='a' LANG = 'FR-ca'>", "fr"), ('<html xml:lang="it">', "it"), ('<html xml:lang="it" lang="pt">', "pt"), ("<html data-lang=de>", None), ("<html lang=english>", None),
+        ('<html><meta charset=x><meta http-equiv="Content-Language" content="es, en">', "es"), ("<meta content=nl http-equiv=content-language>", "nl"), ("<html lang=''><meta http-equiv=content-language content='da'>", "da"),
+        ("<!-- <html lang=de> --><html lang=en>", "en"), ("<script>'<html lang=de>'</script>", None), ("<meta name=x content=de>", None), ("", None), (None, None), ("<html " * 20_000, None), ("<meta content-language " * 20_000, None),
+    ],
+)
+def test_declared_language(spark, html_, want):
+    page = spark.createDataFrame([(html_,)], "html string").select(F.regexp_replace("html", langid.HIDDEN, " ").alias("html"))
+    assert page.select(langid.declared_language("html").alias("d")).first().d == want
+
+
 def test_language_of_pages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.identify(spark.read.parquet(f"{SF}/pages.parquet"), docs)
     assert out.where("declared IS NOT NULL AND declared = lang").count() >= 0.9 * out.where("declared IS NOT NULL").count() > 0
+    # The text's own verdict doesn't see the declaration.
+    assert out.where("declared IS NOT NULL AND declared = text_lang").count() >= 0.8 * out.where("declared IS NOT NULL").count()
+    assert out.where("declared IS NOT NULL AND declared = lang").count() >= 0.9 * out.where("declared IS NOT NULL").count() > 0
 
 
 def test_html_layout():
@@ -344,6 +394,12 @@ def test_ablations_are_bitwise(spark):
     bits = [r.failed for r in book.collect()]
     for b, rule in enumerate(quality.RULES):
         assert got[rule].n_failed == sum(x >> b & 1 for x in bits) and got[rule].n_only == sum(x == 1 << b for x in bits)
+    each = {(r.policy, r.rule): r for r in quality.ablations(book, *quality.POLICIES).collect()}
+    assert set(each) == {(p, r) for p, rules in quality.POLICIES.items() for r in rules}
+    for (policy, rule), r in each.items():
+        m, bit = quality.mask(policy), 1 << list(quality.RULES).index(rule)
+        assert (r.n_kept, r.n_kept_without, r.n_only) == (sum(not x & m for x in bits), sum(not x & m & ~bit for x in bits), sum(x & m == bit for x in bits))
+    assert {tuple(r)[2:] for r in quality.ablations(book.limit(0)).collect()} == {(0, 0, 0, 0, 0)}
 
 
 def test_near_family_around_the_threshold_equals_brute_force(spark):
