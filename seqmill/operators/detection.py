@@ -7,11 +7,14 @@ events. A key is one trajectory (a rally): bounded, as the windows over it are.
 
 from __future__ import annotations
 
+import math
 from dataclasses import asdict, dataclass
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from seqmill.operators.intervals import greedy_match
 from seqmill.operators.scores import _f1, _ratio, best_candidate
@@ -51,8 +54,14 @@ def _values(candidates: list[Candidate], *names: str) -> Column:
     return F.array(*[F.struct(*[F.lit(v).cast(kinds.get(n, "double")).alias(n) for n, v in zip(names, f, strict=True)]) for f in found])
 
 
+@F.pandas_udf(DoubleType())
+def _acos(cosine: pd.Series) -> pd.Series:
+    """The C library's arc cosine, as SQL engines take it. The JVM's may differ in the last bit, which orders turns by equal angles."""
+    return cosine.map(math.acos, na_action="ignore")
+
+
 def measured(points: DataFrame, keys: list[str], frame: str, x: str, y: str, radii: list[int]) -> DataFrame:
-    """(keys, frame, rise, is_peak, prominences, angle, least_step, longest_gap) of the points in view.
+    """(keys, frame, rise, is_peak, prominences, least_step, longest_gap, turn) of the points in view.
 
     Points without a place, or with a coordinate of 0 or less, are not in view. ``rise`` is the
     speed up to the next point (y points down), prominences are by radius, over points not frames.
@@ -61,19 +70,21 @@ def measured(points: DataFrame, keys: list[str], frame: str, x: str, y: str, rad
     w = Window.partitionBy(*keys).orderBy("frame", "_x", "_y")
     before, after = ({c: f(c).over(w) for c in ("frame", "_x", "_y")} for f in (F.lag, F.lead))
     gap_in, gap_out = F.col("frame") - before["frame"], after["frame"] - F.col("frame")
-    step_in, step_out = F.hypot(F.col("_x") - before["_x"], F.col("_y") - before["_y"]), F.hypot(after["_x"] - F.col("_x"), after["_y"] - F.col("_y"))
+    length = lambda dx, dy: F.sqrt(dx * dx + dy * dy)  # noqa: E731  # hypot rounds otherwise
+    step_in, step_out = length(F.col("_x") - before["_x"], F.col("_y") - before["_y"]), length(after["_x"] - F.col("_x"), after["_y"] - F.col("_y"))
     dot = (F.col("_x") - before["_x"]) * (after["_x"] - F.col("_x")) + (F.col("_y") - before["_y"]) * (after["_y"] - F.col("_y"))
     size = step_in * step_out
-    angle = F.when(size == 0, 0.0).otherwise(F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot / size)))))
+    cosine = F.when(size == 0, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot / size)))
     lowest = lambda a, b: F.coalesce(F.min("_y").over(w.rowsBetween(a, b)), F.col("_y"))
     prominences = [F.struct(F.lit(r).alias("radius"), (F.col("_y") - F.least(lowest(-r, -1), lowest(1, r))).alias("value")) for r in sorted(set(radii))]
-    return rows.select(
+    out = rows.select(
         *keys, "frame",
         ((F.col("_y") - after["_y"]) / F.greatest(gap_out, F.lit(1))).alias("rise"),
         F.coalesce((F.col("_y") >= before["_y"]) & (F.col("_y") >= after["_y"]), F.lit(False)).alias("is_peak"),
         F.map_from_entries(F.array(*prominences)).alias("prominences"),
-        angle.alias("turn"), F.when(size.isNotNull(), F.least(step_in, step_out)).alias("least_step"), F.greatest(gap_in, gap_out).alias("longest_gap"),
+        cosine.alias("_cosine"), F.when(size.isNotNull(), F.least(step_in, step_out)).alias("least_step"), F.greatest(gap_in, gap_out).alias("longest_gap"),
     )
+    return out.withColumn("turn", F.degrees(_acos("_cosine"))).drop("_cosine")
 
 
 def detect(points: DataFrame, keys: list[str], frame: str, x: str, y: str, candidates: list[Candidate]) -> DataFrame:

@@ -1,3 +1,7 @@
+from datetime import datetime, timedelta
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from oracle import same
 
@@ -17,3 +21,23 @@ def test_entry_has_every_query(spark):
     assert set(plans.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+#: One bout of a user whose kinks turn by equal angles but for the last bits of their lengths and arc cosines.
+EQUAL_TURNS = (
+    ("click", 10.1, 35), ("click", 88.9, 51), ("click", 10.1, 12), ("purchase", 66.06, 35), ("purchase", 9.87, 35),
+    ("purchase", 88.9, 12), ("purchase", 120.71, 35), ("purchase", 9.87, 35), ("click", 47.33, 12), ("purchase", 9.87, 12),
+)
+
+
+def write_events(path, rows):
+    """events of user 2, one a second, from (type, value, k)."""
+    ts = [datetime(2024, 1, 1) + timedelta(seconds=i) for i in range(len(rows))]
+    types, values, ks = zip(*rows, strict=True)
+    events = {"event_id": range(len(rows)), "ts": ts, "user_id": [2] * len(rows), "event_type": types, "value": values, "props": [f'{{"k": {k}}}' for k in ks]}
+    pq.write_table(pa.table({k: pa.array(v) for k, v in events.items()}), path / "events.parquet")
+
+
+def test_best_detector_with_equal_turns(spark, tmp_path):
+    write_events(tmp_path, EQUAL_TURNS)
+    same(spark, str(tmp_path), plans.QUERIES["best_detector"], plans.ORACLE_SQL["best_detector"])
