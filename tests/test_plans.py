@@ -41,3 +41,8 @@ def write_events(path, rows):
 def test_best_detector_with_equal_turns(spark, tmp_path):
     write_events(tmp_path, EQUAL_TURNS)
     same(spark, str(tmp_path), plans.QUERIES["best_detector"], plans.ORACLE_SQL["best_detector"])
+
+
+def test_detected_events_turns_near_reversal(spark, tmp_path):
+    write_events(tmp_path, [("view", 21.47, 9), ("view", 8.8, 23), ("view", 17.85, 13)])
+    same(spark, str(tmp_path), plans.QUERIES["detected_events"], plans.ORACLE_SQL["detected_events"])
