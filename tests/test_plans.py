@@ -46,3 +46,9 @@ def test_best_detector_with_equal_turns(spark, tmp_path):
 def test_detected_events_turns_near_reversal(spark, tmp_path):
     write_events(tmp_path, [("view", 21.47, 9), ("view", 8.8, 23), ("view", 17.85, 13)])
     same(spark, str(tmp_path), plans.QUERIES["detected_events"], plans.ORACLE_SQL["detected_events"])
+
+
+def test_detector_search_with_equal_turns(spark, tmp_path):
+    rows = [("click", 10.1, 12), ("click", 66.06, 35), ("purchase", 66.06, 53), ("purchase", 88.9, 12), ("purchase", 88.9, 53), ("purchase", 66.06, 51), ("purchase", 88.9, 53), ("purchase", 88.9, 35)]
+    write_events(tmp_path, [*rows, ("click", 47.33, 35), ("purchase", 10.1, 53)])
+    same(spark, str(tmp_path), plans.QUERIES["detector_search"], plans.ORACLE_SQL["detector_search"])
