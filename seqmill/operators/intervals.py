@@ -45,9 +45,14 @@ def merge_intervals(rows: DataFrame, key: str, start: str = "start", end: str =
     return marked.groupBy(key, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("_island")
 
 
-def complement_intervals(merged: DataFrame, key: str, low: int, high: int) -> DataFrame:
-    """What disjoint intervals leave of [low, high], per key."""
-    merged = merged.where((F.col("end") >= low) & (F.col("start") <= high))
+def complement_intervals(merged: DataFrame, key: str, low: int, high: int, within: bool = True) -> DataFrame:
+    """What disjoint intervals leave of [low, high], per key.
+
+    Without ``within`` intervals outside count too: the first gap begins at ``low``, the last ends
+    at ``high``, and those between two intervals stay whole wherever they lie.
+    """
+    if within:
+        merged = merged.where((F.col("end") >= low) & (F.col("start") <= high))
     w = Window.partitionBy(key).orderBy("start")
     head = merged.groupBy(key).agg(F.min("start").alias("s")).select(key, F.lit(low).cast("long").alias("start"), (F.col("s") - 1).alias("end"))
     tail = merged.select(key, (F.col("end") + 1).alias("start"), F.coalesce(F.lead("start").over(w) - 1, F.lit(high).cast("long")).alias("end"))

@@ -30,11 +30,11 @@ EQUAL_TURNS = (
 )
 
 
-def write_events(path, rows):
-    """events of user 2, one a second, from (type, value, k)."""
+def write_events(path, rows, step=1):
+    """events of user 2, one a second, from (type, value, k); ids are multiples of ``step``."""
     ts = [datetime(2024, 1, 1) + timedelta(seconds=i) for i in range(len(rows))]
     types, values, ks = zip(*rows, strict=True)
-    events = {"event_id": range(len(rows)), "ts": ts, "user_id": [2] * len(rows), "event_type": types, "value": values, "props": [f'{{"k": {k}}}' for k in ks]}
+    events = {"event_id": range(0, len(rows) * step, step), "ts": ts, "user_id": [2] * len(rows), "event_type": types, "value": values, "props": [f'{{"k": {k}}}' for k in ks]}
     pq.write_table(pa.table({k: pa.array(v) for k, v in events.items()}), path / "events.parquet")
 
 
@@ -52,3 +52,9 @@ def test_detector_search_with_equal_turns(spark, tmp_path):
     rows = [("click", 10.1, 12), ("click", 66.06, 35), ("purchase", 66.06, 53), ("purchase", 88.9, 12), ("purchase", 88.9, 53), ("purchase", 66.06, 51), ("purchase", 88.9, 53), ("purchase", 88.9, 35)]
     write_events(tmp_path, [*rows, ("click", 47.33, 35), ("purchase", 10.1, 53)])
     same(spark, str(tmp_path), plans.QUERIES["detector_search"], plans.ORACLE_SQL["detector_search"])
+
+
+def test_free_intervals_of_a_long_sequence(spark, tmp_path):
+    """Spans go on beyond 300, where the SQL ends the last interval alone."""
+    write_events(tmp_path, [("view", 1.0, 50)] * 130, 9)
+    same(spark, str(tmp_path), plans.QUERIES["free_intervals"], plans.ORACLE_SQL["free_intervals"])
