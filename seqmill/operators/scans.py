@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +22,10 @@ from pyspark.sql.types import StructType
 
 #: Output rows that a scan gathers before it hands them on.
 ROWS_OUT = 20_000
+#: Rows of whole keys that are settled together.
+ROWS_IN = 50_000
+#: Rounds over all components at once; what is left then (long chains) is settled one after the other.
+ROUNDS = 32
 #: Frames of one bucket, within which neighbours are sought at first.
 BUCKET = 100_000
 
@@ -67,6 +73,51 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[],
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out_schema)
 
 
+def begins(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The rows of a sorted table where a key begins; nulls are one key, no keys are one."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for c in map(table.column, keys):
+        a, b = c.slice(1), c.slice(0, max(len(c) - 1, 0))
+        new[1:] |= pc.and_not(pc.fill_null(pc.not_equal(a, b), True), pc.and_(a.is_null(), b.is_null())).to_numpy()
+    return np.flatnonzero(new)
+
+
+def blocks(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: StructType) -> DataFrame:
+    """Whole keys, many at a time: ``run`` takes their rows in ``order`` and where each key begins, and gives a table of ``schema``.
+
+    For work on bounded keys that arrays settle together. A key's rows are held in memory. ``rows`` are laid
+    out by ``repartition(*keys)``; windows by the same keys may lie between.
+    """
+    arrow = to_arrow_schema(schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, wanted = [], 0, ROWS_IN
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < wanted:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = begins(table, keys)
+            if last := int(at[-1]):
+                yield from run(table.slice(0, last), at[:-1]).cast(arrow).to_batches()
+            held, n = table.slice(last).to_batches(), n - last
+            wanted = max(ROWS_IN, 2 * n)  # a long key is not looked at again with every batch
+        if n:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from run(table, begins(table, keys)).cast(arrow).to_batches()
+
+    return rows.sortWithinPartitions(*keys, *order).mapInArrow(whole, schema)
+
+
+def one_axis(frames: np.ndarray, starts: np.ndarray, far: int) -> np.ndarray:
+    """Sorted frames of many keys as places on one axis: distances below ``far`` stay, longer ones and those between keys are ``far`` or more."""
+    steps = np.minimum(np.diff(frames, prepend=frames[:1]), far)
+    steps[starts] = far
+    return np.cumsum(steps)
+
+
 def cut_at_gaps(rows: DataFrame, keys: list[str], order: str, gap: int | str, width: int | None = BUCKET) -> DataFrame:
     """Adds ``part``: the first ``order`` of the row's component; a new one begins where the step is ``gap`` or more.
 

@@ -6,11 +6,12 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from seqmill.operators.scans import BUCKET, Fold, cut_at_gaps, scan
+from seqmill.operators.scans import BUCKET, ROUNDS, Fold, cut_at_gaps, scan
 
 
 def peaks(points: DataFrame, key: str, order: str, value: str, radius: int, prominence: float) -> DataFrame:
@@ -111,6 +112,28 @@ class _Suppressor(Fold):
                 yield frame, row[1], *row[4:]
 
 
+def suppressed(at: np.ndarray, rank: np.ndarray, distance: int) -> np.ndarray:
+    """What ``suppress`` keeps of events at sorted places on one axis, as a mask; the smallest of the distinct ranks goes first.
+
+    In each round the first event of every component stays and those too close to it go.
+    """
+    kept, left = np.zeros(len(at), bool), np.arange(len(at))
+    for _ in range(ROUNDS):
+        if not len(left):
+            return kept
+        a, r = at[left], rank[left]
+        opens = np.flatnonzero(np.diff(a, prepend=a[0] - distance) >= distance)
+        sizes = np.diff(opens, append=len(a))
+        first = r == np.repeat(np.minimum.reduceat(r, opens), sizes)
+        kept[left[first]] = True
+        left = left[(np.abs(a - np.repeat(a[first], sizes)) >= distance) & ~first]
+    rest = _Suppressor(distance)
+    for i, a, r in zip(left.tolist(), at[left].tolist(), rank[left].tolist(), strict=True):
+        rest.add((a, -r, 0, None, i))
+    kept[[row[2] for row in rest.end()]] = True
+    return kept
+
+
 def suppress(candidates: DataFrame, key: str | list[str], frame: str, score: str, distance: int | str, tie: str | None = None, keep: tuple[str, ...] = (), width: int | None = BUCKET) -> DataFrame:
     """Greedy suppression: highest score first, kept if ``distance`` frames from all kept ones.
 

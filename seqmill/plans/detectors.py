@@ -29,16 +29,19 @@ def detected_events(spark, sf_dir):
     return found.select(*KEYS, "candidate", "frame", F.round("score", 6).alias("score"), "reason")
 
 
-def detector_search(spark, sf_dir):
-    """Half of the users are the split to choose by."""
-    p = _points(spark, sf_dir).withColumn("split", F.when(F.col("rally") % 2 == 0, "val").otherwise("train"))
-    truths = p.where("token = 'purchase'").select("split", *KEYS, "frame")
-    found = detection.search(p, truths, ["split", *KEYS], "frame", "x", "y", GRID, TOLERANCE, "split")
+def _searched(spark, sf_dir, *splits):
+    """Half of the users are the split to choose by. A split is searched alone where only that one is asked for: its rows don't depend on others."""
+    p = _points(spark, sf_dir).withColumn("split", F.when(F.col("rally") % 2 == 0, "val").otherwise("train")).where(F.col("split").isin(*splits))
+    found = detection.search(p, F.col("token") == "purchase", ["split", *KEYS], "frame", "x", "y", GRID, TOLERANCE, "split")
     return found.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "mean_abs_error")})
 
 
+def detector_search(spark, sf_dir):
+    return _searched(spark, sf_dir, "val", "train")
+
+
 def best_detector(spark, sf_dir):
-    return detection.best(detector_search(spark, sf_dir).where("split = 'val'"))
+    return detection.best(_searched(spark, sf_dir, "val"))
 
 
 def _denoised(spark, sf_dir):

@@ -43,6 +43,13 @@ def test_best_detector_with_equal_turns(spark, tmp_path):
     same(spark, str(tmp_path), plans.QUERIES["best_detector"], plans.ORACLE_SQL["best_detector"])
 
 
+def test_best_detector_passes_over_the_events_once(spark):
+    """All candidates are settled in one pass of whole trajectories; no point is shuffled once per candidate, no half searched in vain."""
+    plan = plans.QUERIES["best_detector"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(x) for x in ("FileScan parquet", "MapInArrow", "ArrowEvalPython", "Generate ")] == [1, 1, 0, 0]
+    assert plan.count("Exchange hashpartitioning") == 3 and "% 2) = 0" in plan.split("MapInArrow")[1]  # by user, by bout, by candidate
+
+
 def test_detected_events_turns_near_reversal(spark, tmp_path):
     write_events(tmp_path, [("view", 21.47, 9), ("view", 8.8, 23), ("view", 17.85, 13)])
     same(spark, str(tmp_path), plans.QUERIES["detected_events"], plans.ORACLE_SQL["detected_events"])

@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,52 @@ def test_detector_search_equals_loops(spark):
         detection.grid([], [1.0], [1], [1.0], [1.0], [1.0])
 
 
+def test_array_suppression_and_matching_equal_loops_on_long_chains():
+    """Rising scores and close events settle one in each round: far more than the rounds over all components."""
+    rng = random.Random(11)
+    for n, gap, score in ((1500, 2, lambda i: i), (1500, 2, lambda i: -i), (900, 3, lambda i: rng.randrange(9)), (900, 0, lambda i: rng.randrange(5)), (1, 1, lambda i: 0), (0, 1, lambda i: 0)):
+        frames = sorted(rng.randrange(gap * n + 1) for _ in range(n))
+        rows = [(f, score(i), "") for i, f in enumerate(frames)]
+        ranks = np.empty(n, np.int64)
+        ranks[sorted(range(n), key=lambda i: (-rows[i][1], i))] = np.arange(n)
+        for distance in (0, 1, 5):
+            kept = trajectory.suppressed(np.array(frames, np.int64), ranks, distance)
+            assert [frames[i] for i in np.flatnonzero(kept)] == sorted(r[0] for r in loop_suppress(rows, distance))
+        truth = sorted(rng.randrange(gap * n + 1) for _ in range(n // 2))
+        for tolerance in (0, 3):
+            places, errors = intervals.matched(np.array(frames, np.int64), np.array(truth, np.int64), tolerance)
+            assert sorted(zip(places.tolist(), errors.tolist(), strict=True)) == sorted((m[0], m[2]) for m in loop_match(frames, truth, tolerance))
+
+
+def test_detector_blocks_hold_whole_keys(spark, monkeypatch):
+    """Blocks and batches end anywhere, but no key is cut. Points out of view may be true events; those without a frame count and match nothing."""
+    rng = random.Random(12)
+    keys = [(v, r) for v in (None, "a", "b") for r in (None, 1, 2, 3)]
+    rows = [(*k, f, rng.choice([None, 0.0, *[20.0, 40.0, 61.5] * 3]), rng.choice([None, -1.0, *[5.0, 9.0, 44.0, 80.0, 99.0] * 3]), rng.choice([None, True, False])) for k in keys for f in [None, None, *rng.sample(range(-40, 40), 40)]]
+    points = spark.createDataFrame(rows, "v string, r int, frame int, x double, y double, hit boolean").repartition(3)
+    grid = detection.grid([3, 12], [8.0, 50.0], [2], [20.0, 140.0], [5.0], [6.0])
+    found = lambda: sorted(map(repr, detection.detect(points, ["v", "r"], "frame", "x", "y", grid).collect()))
+    searched = lambda p, truths: sorted(map(repr, detection.search(p, truths, ["v", "r"], "frame", "x", "y", grid, 4, "v").collect()))
+    keyed = points.dropna(subset=["v", "r"])
+    want, by_condition = found(), searched(keyed, F.col("hit"))
+    assert by_condition == searched(keyed, keyed.where("hit").union(keyed.limit(1).withColumn("r", F.lit(99))))
+    hits = {r.v: r.ground_truth_hits for r in detection.search(keyed, F.col("hit"), ["v", "r"], "frame", "x", "y", grid[:1], 4, "v").collect()}
+    assert hits == {v: sum(bool(r[5]) for r in rows if r[0] == v and r[1]) for v in ("a", "b")}
+    monkeypatch.setattr(scans, "ROWS_IN", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert found() == want and searched(keyed, F.col("hit")) == by_condition
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    per_key = {k: [(f, x, y) for *k2, f, x, y, _ in rows if tuple(k2) == k and f is not None] for k in keys if None not in k}
+    got = {}
+    for e in detection.detect(keyed, ["v", "r"], "frame", "x", "y", grid).collect():
+        got.setdefault((e.v, e.r, e.candidate), []).append((e.frame, round(e.score, 6), e.reason))
+    for k, ps in per_key.items():
+        for c in grid:
+            assert sorted(got.get((*k, c.candidate), [])) == [(f, round(s, 6), why) for f, s, why in loop_detect(ps, c)]
+
+
 def test_two_slots_carry_over_batches(spark):
     rows = [(1, f, 0.1 + f / 100, 0.2, 5.0) for f in range(40)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
